@@ -44,13 +44,16 @@ def message_key(df: DataFrame) -> DataFrame:
 
 
 def groups(spark: SparkSession, path: str) -> DataFrame:
-    """(key, first_id, copies) of each message that was delivered more than once."""
+    """(key, first STRUCT<entry_id, file, pos>, copies) of each message that was delivered more than once.
+
+    Ties in the delivery number are broken by the place of the row.
+    """
     narrow = message_key(positions(spark, path))
-    return narrow.groupBy("key").agg(F.min("entry_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    return narrow.groupBy("key").agg(F.min(F.struct("entry_id", "file", "pos")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
 
 
 def copies(spark: SparkSession, path: str) -> DataFrame:
-    """(entry_id, key, first_id, copies, file, pos) of each row of such a message, the winner included."""
+    """(entry_id, key, first, copies, file, pos) of each row of such a message, the winner included."""
     return message_key(positions(spark, path)).join(groups(spark, path), "key")
 
 
@@ -67,7 +70,7 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def deletion_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(file, slice, rows ARRAY<INT>): the rows to leave out; a slice has SLICE rows at most."""
-    gone = copies(spark, path).where("entry_id <> first_id")
+    gone = copies(spark, path).where("NOT (file = first.file AND pos = first.pos)")
     return gone.groupBy("file", F.expr(f"pos div {SLICE}").alias("slice")).agg(F.collect_list(F.expr(f"cast(pos % {SLICE} AS INT)")).alias("rows"))
 
 

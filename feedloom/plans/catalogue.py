@@ -19,7 +19,7 @@ def p5_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_messages(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.groups(spark, f"{d}/entries.parquet").select("first_id", "copies")
+    return deliveries.groups(spark, f"{d}/entries.parquet").select(F.col("first.entry_id").alias("first_id"), "copies")
 
 
 TIME_FIELDS = (("rss_items", "item_id", "pubdate"), ("atom_entries", "atom_id", "updated"), ("channels", "channel_id", "lastbuilddate"))
