@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import site_lines
+from feedloom.llm import bpe, mixture, site_lines
 from feedloom.session import table
 
 
@@ -21,6 +21,33 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return x.select("entry_id", site_lines.without_lines(F.col("summary"), F.col("numbers")).alias("summary"), F.size("numbers").alias("removed"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select("doc_id", "text")
+    return bpe.encode_column(x, "text", "ids", bpe.default_vocabulary()).select("doc_id", "ids")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.decode_column(p8_ids(spark, d), "ids", "text", bpe.default_vocabulary()).select("doc_id", "text")
+
+
+def _mix(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("sources", F.array("source"))
+    targets = table(spark, d, "mix_targets")
+    ranges, sizes, long = mixture.plan(docs, targets, "doc_id", "sources", "text", bpe.default_vocabulary())
+    return docs, targets, ranges, sizes, long
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    docs, _, ranges, _, long = _mix(spark, d)
+    x = mixture.mixture(docs.where("length(text) > 0"), ranges, long, "doc_id", "sources")
+    return x.select("mix_id", "d.doc_id", "mix_source", "copy", "d.text")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    _, targets, ranges, sizes, _ = _mix(spark, d)
+    return mixture.shares(ranges, sizes, targets)
+
+
 _P1 = r"""
 WITH l AS (
   SELECT entry_id, coalesce(feed, chr(0)) AS src, unnest(string_split(summary, chr(10))) AS line, unnest(range(1, len(string_split(summary, chr(10))) + 1)) AS line_no
@@ -32,11 +59,12 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",
     "p1_cleaned": _P1
     + """, c AS (SELECT entry_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (r.key IS NULL) AS kept, count(r.key) AS removed FROM k LEFT JOIN r USING (src, key) GROUP BY entry_id)
 SELECT entry_id, CASE WHEN removed = 0 THEN summary WHEN summary IS NOT NULL THEN coalesce(kept, '') END AS summary, CAST(coalesce(removed, 0) AS INTEGER) AS removed FROM entries LEFT JOIN c USING (entry_id)""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
