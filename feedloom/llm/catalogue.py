@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixture, site_lines
+from feedloom.llm import bpe, garbled, mixture, site_lines
 from feedloom.session import table
 
 
@@ -21,6 +21,24 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return x.select("entry_id", site_lines.without_lines(F.col("summary"), F.col("numbers")).alias("summary"), F.size("numbers").alias("removed"))
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, field_name, raw, affected, restored, text) of each title and description."""
+    model = garbled.fit(table(spark, d, "documents"), "text")
+    x = table(spark, d, "rss_items").select("item_id", "title", "description")
+    x = garbled.repair_columns(x, ["title", "description"], model)
+    one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw"), F.col(c + "_repair").alias("r"))
+    x = x.select("item_id", F.explode(F.array(one("title"), one("description"))).alias("f"))
+    return x.select("item_id", "f.field_name", "f.raw", "f.r.affected", "f.r.restored", "f.r.text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).where("affected").select("item_id", "field_name")
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("item_id", "field_name", "affected", "restored", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("doc_id", "text")
     return bpe.encode_column(x, "text", "ids", bpe.default_vocabulary()).select("doc_id", "ids")
@@ -59,7 +77,7 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p4_found": p4_found, "p4_restored": p4_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",
