@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, garbled, mixture, site_lines
+from feedloom.llm import bpe, garbled, mixture, page_ops, site_lines
+from feedloom.functions.timestamps import host_of
 from feedloom.session import table
 
 
@@ -21,6 +22,33 @@ def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return x.select("entry_id", site_lines.without_lines(F.col("summary"), F.col("numbers")).alias("summary"), F.size("numbers").alias("removed"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, rec_id, host, day, body) of the texts that may be whole pages."""
+    host = host_of(F.col("feed")).alias("host")
+    items = table(spark, d, "rss_items").select(F.lit("rss_items").alias("tab"), F.col("item_id").alias("rec_id"), host, F.col("fetched").alias("day"), F.col("content").alias("body"))
+    return items.unionAll(table(spark, d, "entries").select(F.lit("entries").alias("tab"), F.col("entry_id").alias("rec_id"), host, F.col("updated").alias("day"), F.col("summary").alias("body")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    x = page_ops.with_main(_records(spark, d), "host", "body", "day", "page")
+    return x.select("tab", "rec_id", F.explode("page.furniture").alias("line_no"))
+
+
+def p2_main(spark: SparkSession, d: str) -> DataFrame:
+    x = page_ops.with_main(_records(spark, d), "host", "body", "day", "page")
+    return x.select("tab", "rec_id", "page.residue", "page.main")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    x = page_ops.with_residue(_records(spark, d), "host", "body", "day", "kinds")
+    return x.where("size(kinds) > 0").select("tab", "rec_id")
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    x = page_ops.with_residue(_records(spark, d), "host", "body", "day", "kinds")
+    return x.where("size(kinds) = 0").select("tab", "rec_id", "body")
+
+
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, field_name, raw, affected, restored, text) of each title and description."""
     model = garbled.fit(table(spark, d, "documents"), "text")
@@ -77,7 +105,7 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p4_found": p4_found, "p4_restored": p4_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",
