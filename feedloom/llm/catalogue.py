@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, garbled, mixture, page_ops, site_lines
+from feedloom.llm import bpe, garbled, markup_ops, mixture, page_ops, site_lines
 from feedloom.functions.timestamps import host_of
 from feedloom.session import table
 
@@ -67,6 +67,27 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).select("item_id", "field_name", "affected", "restored", "text")
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """(item_id, host, field_name, m STRUCT<kinds, clean>) of each description and content."""
+    x = table(spark, d, "rss_items").select("item_id", host_of(F.col("feed")).alias("host"), "description", "content")
+    one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("body"))
+    x = x.select("item_id", "host", F.explode(F.array(one("description"), one("content"))).alias("f")).select("item_id", "host", "f.field_name", "f.body")
+    return markup_ops.with_markup(x, "body", "m")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("item_id", "field_name", F.explode("m.kinds").alias("markup"))
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).select("item_id", "field_name", F.col("m.clean").alias("text"))
+
+
+def p6_unique(spark: SparkSession, d: str) -> DataFrame:
+    x = _marked(spark, d).select("item_id", "field_name", "host", F.col("m.clean").alias("text"), F.concat_ws(":", "item_id", "field_name").alias("key"))
+    return markup_ops.unique_runs(x, "key", "host", "text", "unique_text").select("item_id", "field_name", "unique_text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("doc_id", "text")
     return bpe.encode_column(x, "text", "ids", bpe.default_vocabulary()).select("doc_id", "ids")
@@ -105,7 +126,7 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_clean": p6_clean, "p6_unique": p6_unique, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",
