@@ -40,7 +40,7 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=\s)(?=\S)"), lambda x: x != "")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _windows(tokens: pd.Series) -> pd.Series:
     """A 64-bit hash of each run of RUN tokens."""
     import numpy as np
@@ -79,7 +79,7 @@ def unique_runs(df: DataFrame, key: str, host: str, text: str, out: str) -> Data
     return x.withColumn(out, F.when(F.col("starts").isNull(), F.col(text)).otherwise(keep)).drop("starts")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _uncovered(tokens: pd.Series, starts: pd.Series) -> pd.Series:
     out = []
     for row, begin in zip(tokens, starts, strict=True):
