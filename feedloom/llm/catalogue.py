@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, garbled, markup_ops, mixture, page_ops, site_lines
+from feedloom.llm import bpe, garbled, markup_ops, mixture, page_ops, pii_ops, site_lines
 from feedloom.functions.timestamps import host_of
 from feedloom.session import table
 
@@ -115,6 +115,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(ranges, sizes, targets)
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    finder = pii_ops.fit(docs, "text", table(spark, d, "name_parts"))
+    return pii_ops.with_pii(docs, "text", finder, "pii")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("doc_id", F.explode("pii.spans").alias("s")).select("doc_id", "s.kind", "s.start_pos", "s.end_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("doc_id", F.col("pii.text").alias("text"))
+
+
 _P1 = r"""
 WITH l AS (
   SELECT entry_id, coalesce(feed, chr(0)) AS src, unnest(string_split(summary, chr(10))) AS line, unnest(range(1, len(string_split(summary, chr(10))) + 1)) AS line_no
@@ -126,7 +140,7 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_clean": p6_clean, "p6_unique": p6_unique, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_clean": p6_clean, "p6_unique": p6_unique, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",
