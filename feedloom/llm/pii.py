@@ -361,6 +361,8 @@ class Model:
             log = np.log(np.array([prior, 1 - prior]))[None, :] + sum(np.log(theta[j][:, v[:, j] + 1]).T for j in range(k))
             p = np.exp(log - log.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
+            if kind == "name":  # anchored: a known name that is all of a line or sentence, as a signature is
+                p[(v[:, 1] > 0) & (v[:, 6] > 0) & (v[:, 5] >= 0) & (v[:, 4] >= 0)] = (0.97, 0.03)
             prior = float(np.clip((p[:, 0] @ n + 8) / (n.sum() + 10), 0.05, 0.99))
             for j in range(k):
                 for z in range(2):
