@@ -7,13 +7,15 @@ zero-width characters, one blank for each run of white space.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _ZERO = re.compile("[​﻿]")
-_SPACES = re.compile(r"\s+")
 
 
 def fold(line: str) -> str:
-    return _SPACES.sub(" ", _ZERO.sub("", line)).strip().lower()
+    if not line.isascii():
+        line = _ZERO.sub("", line)
+    return " ".join(line.split()).lower()
 
 
 # Items of menus, breadcrumbs and footers.
@@ -67,7 +69,52 @@ _PARTS = [
     r"^(?:dieser feed|ce flux|este feed|本文仅|эта лента)|^(?:abonnieren|abonnez|suscríb|订阅|关注|подпис)",
     r"nur für den (?:privaten|persönlichen)|usage personnel|uso personal|仅供个人|личного (?:пользования|использования)",
 ]
-FURNITURE = re.compile("|".join(f"(?:{p})" for p in _PARTS))
+
+
+def _alternatives(part: str) -> list[str]:
+    """The alternatives of a pattern outside all brackets."""
+    out, depth, at, i = [], 0, 0, 0
+    while i < len(part):
+        if part[i] == "\\":
+            i += 1
+        elif part[i] in "([":
+            depth += 1
+        elif part[i] in ")]":
+            depth -= 1
+        elif part[i] == "|" and not depth:
+            out.append(part[at:i])
+            at = i + 1
+        i += 1
+    return [*out, part[at:]]
+
+
+_EACH = [a for p in _PARTS for a in _alternatives(p)]
+#: Patterns of the start of a line, and those that may stand anywhere in it.
+_START = re.compile("|".join(f"(?:{a[1:]})" for a in _EACH if a.startswith("^")))
+_INSIDE = re.compile("|".join(f"(?:{a})" for a in _EACH if not a.startswith("^")))
+#: One of these stands in each line that _INSIDE can match.
+_NEEDED = """cookie identifiers|tracking tags|similar tools|small files|small text files|your visit|partner|daten auf ihrem|nutzung erklären|您的设备|соглашаетесь|©|reserved|permission
+    copied|reproduced|republished|charity|rechte|nachdruck|ohne |droits|reproduction|derechos|prohibida|版权|转载|права|перепечатка|no part|powered|markup|shares|friend|share this|first on|never
+    issues a year|personal|expressed|not of|contact|permalink|to post|комментари|仅供|личного|usage|uso |privaten|persönlichen""".replace("cookie identifiers", "cookie|identifiers").replace("\n", "|")
+_WORDS = sorted({w.strip(" ") if w.strip() not in ("ohne", "uso") else w.strip() + " " for w in _NEEDED.split("|") if w.strip()})
+#: Lines of more characters are prose.
+LONGEST = 320
+
+
+@lru_cache(maxsize=1)
+def _needed():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in _WORDS:
+        a.add_word(w, w)
+    a.make_automaton()
+    return a
+
+
+def matches(folded: str) -> bool:
+    """Whether a folded line is furniture by its words."""
+    return _START.match(folded) is not None or (next(_needed().iter(folded), None) is not None and _INSIDE.search(folded) is not None)
 
 _SEPARATORS = re.compile(r" *(?:\||/|·|»|›|>|::|•|—|→| - ) *|(?<=[a-z])-(?=[A-Z])|\s{2,}|(?<=\S),\s")
 
@@ -95,7 +142,9 @@ def is_furniture(line: str) -> bool:
     """Whether the visible text of a line is furniture by itself."""
     known = _SEEN.get(line)
     if known is None:
-        known = menu(line) or FURNITURE.search(fold(line)) is not None
+        if len(line) > LONGEST:
+            return False
+        known = menu(line) or matches(fold(line))
         if len(_SEEN) > 1 << 16:
             _SEEN.clear()
         if len(line) < 200:

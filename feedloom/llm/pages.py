@@ -18,6 +18,7 @@ from feedloom.llm.furniture import SIDEBAR, fold, is_furniture
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_HAN = re.compile("[぀-ヿ㐀-鿿]")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 _BLOCKS = {"div", "section", "article", "main", "body", "html", "ul", "ol", "table", "tbody", "tr", "td", "nav", "aside", "header", "footer", "form", "dl", "blockquote"}
 # Names that pages give to furniture and to content.
@@ -42,8 +43,9 @@ class Line:
 
 def _prose(text: str) -> bool:
     """A line of sentences."""
-    han = len(re.findall("[぀-ヿ㐀-鿿]", text))
-    return len(text) + 2 * han >= 60 and text.rstrip().endswith(_END)
+    if not text.rstrip().endswith(_END):
+        return False
+    return len(text) >= 60 or (len(text) >= 20 and not text.isascii() and len(text) + 2 * len(_HAN.findall(text)) >= 60)
 
 
 def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]:
@@ -119,6 +121,8 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
     """
     if not text or not text.strip():
         return [], []
+    if "<" not in text:
+        return _plain(text, set(repeated or ()))
     lines, _ = lines_of(text, set(repeated or ()))
     if not lines:
         return [], []
@@ -159,6 +163,31 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
     return [x.number for x in lines if x.number not in drop], sorted(drop)
 
 
+def _plain(text: str, repeated: set[int]) -> tuple[list[int], list[int]]:
+    """The same for a text without tags: its tree has one level, so all but furniture and teasers is the article."""
+    keep, drop, teasers, in_code = [], [], 0, False
+    for number, raw in enumerate(text.split("\n"), 1):
+        line = html.unescape(raw) if "&" in raw else raw
+        if raw.startswith("```"):
+            in_code = not in_code
+        t = line.strip()
+        if not t or not (t.isascii() or fold(t)):
+            continue
+        if not in_code and (number in repeated or is_furniture(line)):
+            drop.append(number)
+            teasers = 0
+        elif len(t) < 60 and SIDEBAR.fullmatch(fold(t)):
+            drop.append(number)
+            teasers = TEASERS
+        elif teasers and not (t.endswith((".", "。")) or len(t) > 110 or t[0] in "•-*+"):
+            drop.append(number)
+            teasers -= 1
+        else:
+            keep.append(number)
+            teasers = 0
+    return keep, drop
+
+
 def main_lines(text: str | None, keep: list[int]) -> str | None:
     """The article's own lines; null stays null."""
     if text is None:

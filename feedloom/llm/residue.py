@@ -100,40 +100,83 @@ def visible_lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip()]
 
 
+def _sought(text: str) -> list[str]:
+    """The lines of a text that hold a hint."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out, end = [], -1
+    for at, _ in _scan().iter(low):
+        if at > end:
+            begin = text.rfind("\n", 0, at) + 1
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            out.append(text[begin:end])
+    return out
+
+
+def _evidence(line: str) -> str | None:
+    """What the whole of a visible line says: 'whole', 'missing', 'filler' or nothing."""
+    known = _KNOWN.get(line)
+    if known is None:
+        f, known = fold(line), ""
+        if len(f) <= 200 and WHOLE.fullmatch(f) or (len(f) < 90 and _NEEDS.search(f) and not _ABOUT.search(f)):
+            known = "missing" if _MISSING.search(f) else "whole"
+        else:
+            words = _WORDS.findall(f)
+            if len(words) >= 5 and sum(w in FILLER for w in words) >= 0.8 * len(words):
+                known = "filler"
+        if len(_KNOWN) > 1 << 16:
+            _KNOWN.clear()
+        if len(line) < 200:
+            _KNOWN[line] = known
+    return known
+
+
+_KNOWN: dict[str, str] = {}
+_MISSING = re.compile(r"\b(?:null|undefined|nan|none|nil)\b|\[object")
+_OPENERS = ("{", "%", "@@", "__", "[", "*|")
+
+
 def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
     """The kinds of evidence in a text; `repeated` has the numbers from 1 of its lines that recur in the host.
 
-    Null, empty and blank texts have none.
+    Null, empty and blank texts have none. Only lines with a hint are looked at; whether they are the text's substance
+    is judged by what else remains of it without recurrent lines and furniture.
     """
-    if not text or next(_scan().iter(text.lower()), None) is None:
+    if not text:
         return set()
-    if repeated:
-        drop, lines = set(repeated), text.split("\n")
-        text = "\n".join(x for i, x in enumerate(lines, 1) if i not in drop or WHOLE.fullmatch(fold(_TAG.sub("", x))) or PLACEHOLDER.search(x))
-    bare = _FENCE.sub(" ", text)
-    found = set()
-    if "{" in bare or "%" in bare or "@@" in bare or "__" in bare or "[" in bare or "*|" in bare:
+    found: set[str] = set()
+    sought = _sought(text)
+    if not sought and not any(x in text for x in _OPENERS):
+        return found
+    bare = _FENCE.sub(" ", text) if "`" in text or "<" in text else text
+    if bare is not text:
+        sought = _sought(bare)
+    if any(x in bare for x in _OPENERS):
         for m in PLACEHOLDER.finditer(bare):
             begin = max(bare.rfind("\n", 0, m.start()), bare.rfind(". ", 0, m.start())) + 1
             end = min(x for x in (bare.find("\n", m.end()), bare.find(". ", m.end()), len(bare)) if x >= 0)
-            around = bare[begin : m.start()] + " " + bare[m.end() : end]
-            if not EXPLAINED.search(around):
+            if not EXPLAINED.search(bare[begin : m.start()] + " " + bare[m.end() : end]):
                 found.add("placeholder")
                 break
-    residual = [x for x in visible_lines(bare) if not is_furniture(x)]
-    hits = prose = 0
-    for x in residual:
-        f = fold(x)
-        if WHOLE.fullmatch(f) or (len(f) < 90 and _NEEDS.search(f) and not _ABOUT.search(f)):
-            hits += 1
-            if re.search(r"\b(?:null|undefined|nan|none|nil)\b|\[object", f):
-                found.add("missing value")
-            continue
-        words = _WORDS.findall(f)
-        if len(words) >= 5 and sum(w in FILLER for w in words) >= 0.8 * len(words):
-            found.add("filler")
-        elif len(x) > 80 and len(_SENTENCE.split(x)) > 1 or len(x) > 110:
-            prose += 1
-    if hits and (hits >= prose or not prose):
-        found.add("error, filler or scripts")
+    hits = 0
+    for raw in sought:
+        for x in visible_lines(raw):
+            what = _evidence(x)
+            if what == "filler":
+                found.add("filler")
+            elif what:
+                hits += 1
+                if what == "missing":
+                    found.add("missing value")
+    if hits:
+        drop, prose = set(repeated or ()), 0
+        for i, raw in enumerate(bare.split("\n"), 1):
+            if i not in drop:
+                for x in visible_lines(raw):
+                    long = len(x) > 110 or len(x) > 80 and len(_SENTENCE.split(x)) > 1
+                    prose += long and not _evidence(x) and not is_furniture(x)
+        if hits >= prose:
+            found.add("error, filler or scripts")
     return found
