@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.llm.pii import KINDS, Finder, Gazetteer, Model
+from feedloom.llm.sampling import bounded
 
-#: The model is fitted on at most so many texts, those with the least seeded hashes.
+#: The model is fitted on about so many distinct texts, whatever the size of the table.
 SAMPLE_TEXTS = 4000
 #: A gazetteer beyond this size is refused: it goes to every worker.
 MOST_PARTS = 200_000
@@ -29,9 +29,7 @@ def gazetteer(parts: DataFrame) -> Gazetteer:
 def fit(docs: DataFrame, text: str, parts: DataFrame, seed: int = 42, texts: int = SAMPLE_TEXTS) -> Finder:
     """Estimate the labellers and train the span classifier on a bounded sample of texts."""
     g = gazetteer(parts)
-    body = F.col(f"`{text}`")
-    sample = docs.where(F.length(body) > 0).select(body.alias("t"), F.xxhash64(F.lit(seed), body).alias("h")).orderBy("h", "t").limit(texts)
-    rows = sample.select("t").repartition(8)
+    rows = bounded(docs, text, texts, seed).select("t").repartition(8)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, count = Finder(g), Counter()
