@@ -98,11 +98,11 @@ def extract(nodes: DataFrame) -> DataFrame:
     """(page_id, word_count, link_count, images, text) of the article of each page, after the block classifier.
 
     Every page has a row; a page without candidates has an empty article. The table of nodes is read by several steps, so
-    its lineage is cut: pages are parsed once.
+    its lineage is cut: pages are parsed once, and so are the sums and the candidates.
     """
     nodes = cut(nodes)
-    sums = features(nodes)
-    kept = kept_siblings(nodes, sums, candidates(nodes, sums))
+    sums = cut(features(nodes))
+    kept = kept_siblings(nodes, sums, cut(candidates(nodes, sums)))
     judged = blocks.form_prefix(blocks.classify(article_blocks(nodes, sums, kept))).where("final")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda s: s["text"]), "\n")
     images = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "images"))), lambda s: s["images"]))

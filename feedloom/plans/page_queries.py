@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import article, dom
 from feedloom.plans.store_queries import now
-from feedloom.session import table
+from feedloom.session import spread, table
 from feedloom.sources import feeds as S
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rss_items").select(F.col("item_id").alias("page_id"), F.col("link").alias("url"), F.col("content").alias("html"))
+    return spread(table(spark, d, "rss_items").select(F.col("item_id").alias("page_id"), F.col("link").alias("url"), F.col("content").alias("html")))
 
 
 def q_extract_pages(spark: SparkSession, d: str) -> DataFrame:
