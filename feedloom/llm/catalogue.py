@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, garbled, markup_ops, mixture, page_ops, pii_ops, site_lines
 from feedloom.functions.timestamps import host_of
-from feedloom.session import table
+from feedloom.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, field_name, raw, affected, restored, text) of each title and description."""
     model = garbled.fit(table(spark, d, "documents"), "text")
-    x = table(spark, d, "rss_items").select("item_id", "title", "description")
+    x = spread(table(spark, d, "rss_items").select("item_id", "title", "description"))
     x = garbled.repair_columns(x, ["title", "description"], model)
     one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw"), F.col(c + "_repair").alias("r"))
     x = x.select("item_id", F.explode(F.array(one("title"), one("description"))).alias("f"))
@@ -69,7 +69,7 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, host, field_name, m STRUCT<kinds, clean>) of each description and content."""
-    x = table(spark, d, "rss_items").select("item_id", host_of(F.col("feed")).alias("host"), "description", "content")
+    x = spread(table(spark, d, "rss_items").select("item_id", host_of(F.col("feed")).alias("host"), "description", "content"))
     one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("body"))
     x = x.select("item_id", "host", F.explode(F.array(one("description"), one("content"))).alias("f")).select("item_id", "host", "f.field_name", "f.body")
     return markup_ops.with_markup(x, "body", "m")
@@ -89,7 +89,7 @@ def p6_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", "text")
+    x = spread(table(spark, d, "documents").select("doc_id", "text"))
     return bpe.encode_column(x, "text", "ids", bpe.default_vocabulary()).select("doc_id", "ids")
 
 
@@ -118,7 +118,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     finder = pii_ops.fit(docs, "text", table(spark, d, "name_parts"))
-    return pii_ops.with_pii(docs, "text", finder, "pii")
+    return pii_ops.with_pii(spread(docs), "text", finder, "pii")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
