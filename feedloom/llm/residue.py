@@ -47,7 +47,7 @@ _WHOLE = [
     rf"error: the requested url could not be retrieved.*|{_STATUS} ?\([45]\d\d\)|(?:error|fehler|erreur|ошибка) ?[45]\d\d\.?",
     r"access denied\.?(?:you are not.*)?|you (?:are not authorized|don't have permission).*|forbidden\.?|page not found.{0,80}|not found\.?",
     r"error establishing a database connection\.?|fatal error: .*|warning: .{0,40}(?:function|include|mysql|array).*|parse error: .*|uncaught .*|traceback \(most recent call last\):?.*|[a-z]*(?:error|exception): .{0,80}|(?:java|org|com|javax)(?:\.\w+)+(?:exception|error).*|\tat .*|at \w+(?:\.\w+)+\(.*\)",
-    r"(?:oops|sorry|whoops)\b.{0,100}|.{0,30}something went wrong.{0,60}|(?:x{3,} ?)+|系统繁忙.{0,30}|.{0,20}(?:请稍后再试|稍后重试).{0,20}|(?:this|the) (?:page|site) (?:cannot|can't|could not) be .{0,60}|bad gateway.{0,20}",
+    r"(?:oops|sorry|whoops)\b.{0,100}|.{0,30}something went wrong.{0,60}|(?:x{3,} ?)+|系统繁忙.{0,30}|.{0,20}(?:请稍后再试|稍后重试).{0,20}|(?:this|the) (?:page|site) (?:cannot|can't|could not) be .{0,60}|bad gateway\b.*|this (?:account|site|page) has been suspended.*|the domain \S+ (?:is (?:parked|for sale)|has expired).*|.{0,60}upstream .{0,60}did not answer.*",
     r"too many requests\b.*|down for maintenance.*|(?:the )?site is (?:temporarily )?(?:down|under maintenance).*|your session has expired.*|(?:please )?log in again.*|the requested .{1,40} (?:was not found|could not be).*|service unavailable.*|we will be back (?:shortly|soon).*",
     r"fehler \d+: .*|seite nicht gefunden\b.*|zugriff verweigert.*|page introuvable\b.*|accès refusé.*|página no encontrada\b.*|acceso denegado.*|страница не найдена.*|доступ запрещ.н.*|.{0,12}页面不存在.*|(?:404|找不到页面|访问被拒绝|服务器错误).{0,20}|wartungsarbeiten.*|en maintenance.*",
     # scripts and browser checks
@@ -59,10 +59,10 @@ _WHOLE = [
 WHOLE = re.compile("|".join(f"(?:{p})" for p in _WHOLE))
 #: A short line that asks for scripts, and words of sentences that report on such a line.
 _NEEDS = re.compile(
-    r"(?:\b(?:javascript|scripts?|scripting|js)\b.*(?:enable|turned? o|activ|disabled|blocked|allow|require|needed|benötigt|erforderlich|nécessaire|necesari|включ|启用|开启)"
-    r"|(?:need|require|rel(?:y|ies)|works?|without|enable|turn on|allow|activ|benötigt|braucht|erfordert|nécessite|requiert|necesita|requiere|нужен|требует|включ|需要|启用|开启|не работает).*(?:javascript|\bscripts?\b|scripting|\bjs\b|скрипт))"
+    r"(?:\b(?:javascript|scripts?|scripting|js)\b.*(?:enable|turned? o|switch|activ|disabled|blocked|allow|require|needed|benötigt|erforderlich|nécessaire|necesari|включ|启用|开启)"
+    r"|(?:need|require|rel(?:y|ies)|works?|loaded by|switch|displayed|without|enable|turn on|allow|activ|benötigt|braucht|erfordert|nécessite|requiert|necesita|requiere|нужен|требует|включ|需要|启用|开启|не работает).*(?:javascript|\bscripts?\b|scripting|\bjs\b|скрипт))"
 )
-_ABOUT = re.compile(r"\b(?:says|said|survey|story|wrote|explains?|shows|article|called)\b|[\"“„«]")
+_ABOUT = re.compile(r"\b(?:says|said|wrote|explains?|shows|called)\b|[\"“„«]")
 
 _BLOCK = re.compile(r"(?i)</?(?:p|div|h[1-6]|hr|br|li|ul|ol|tr|td|th|table|address|pre|body|html|section|article|title|center)\b[^<>]*>")
 _TAG = re.compile(r"<[!/?]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -77,7 +77,7 @@ HINTS = ("{{", "${", "#{", "%(", "%%", "@@", "__", "[insert", "[add ", "[your ",
          "placeholder", "dummy", "platzhalter", "factice", "relleno", "coming soon", "under construction", "error", "fehler", "erreur", "ошибка", "40", "41", "42", "50", "denied", "authorized",
          "permission", "forbidden", "not found", "traceback", "exception", "too many", "maintenance", "session", "requested", "unavailable", "back shortly", "zugriff", "nicht gefunden",
          "introuvable", "refusé", "encontrada", "denegado", "не найдена", "доступ", "不存在", "找不到", "被拒绝", "服务器错误", "wartung", "javascript", "scripts", "loading", "robot", "human",
-         "checking your", "a moment", "captcha", "ddos", "lorem", "ipsum", "dolor", "quovat", "untitled", "aquí va", "ici le texte", "à venir", "prueba", "此处", "测试", "тестов", "(no ", "hier ", "nothing", "missing", "скрипт", "scripting", " js", "oops", "sorry", "went wrong", "xxx", "系统繁忙", "稍后", "cannot be", "gateway")
+         "checking your", "a moment", "captcha", "ddos", "lorem", "ipsum", "dolor", "quovat", "untitled", "aquí va", "ici le texte", "à venir", "prueba", "此处", "测试", "тестов", "(no ", "hier ", "nothing", "missing", "скрипт", "scripting", " js", "oops", "sorry", "went wrong", "xxx", "系统繁忙", "稍后", "cannot be", "gateway", "suspended", "parked", "for sale", "expired", "upstream", "by script")
 
 
 @lru_cache(maxsize=1)
@@ -120,7 +120,7 @@ def _evidence(line: str) -> str | None:
     known = _KNOWN.get(line)
     if known is None:
         f, known = fold(line), ""
-        if len(f) <= 200 and WHOLE.fullmatch(f) or (len(f) < 90 and _NEEDS.search(f) and not _ABOUT.search(f)):
+        if len(f) <= 200 and WHOLE.fullmatch(f) or (len(f) < 150 and _NEEDS.search(f) and not _ABOUT.search(f)):
             known = "missing" if _MISSING.search(f) else "whole"
         else:
             words = _WORDS.findall(f)
