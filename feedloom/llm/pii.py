@@ -21,12 +21,11 @@ VOTES = ("shape", "given", "family", "ending", "left", "right", "alone")
 # -- shapes (fixed values) ----------------------------------------------------------------------------------------
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?![A-Za-z0-9@])"
-    rf"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9_+-][A-Za-z0-9._+-]* ?(?:\[at\]|\(at\)|\{{at\}}|<at>) ?{_LABEL}(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}|\.| dot ) ?{_LABEL})*(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}|\.| dot ) ?[A-Za-z]{{2,}})(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9_+-][A-Za-z0-9._+-]* at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,}}(?![A-Za-z0-9])",
-    re.I,
-)
+EMAILS = [  # (what must stand in the text, pattern)
+    (("@",), re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@(?:{_LABEL}\.)+[A-Za-z]{{2,}}(?![A-Za-z0-9@])", re.I)),
+    (("[at]", "(at)", "{at}", "<at>", "[AT]", "(AT)"), re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_+-][A-Za-z0-9._+-]* ?(?:\[at\]|\(at\)|\{{at\}}|<at>) ?{_LABEL}(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}|\.| dot ) ?{_LABEL})*(?: ?(?:\[dot\]|\(dot\)|\{{dot\}}|\.| dot ) ?[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.I)),
+    ((" dot ", " DOT "), re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_+-][A-Za-z0-9._+-]* at {_LABEL}(?: dot {_LABEL})* dot [A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)),
+]
 PHONE = re.compile(
     r"(?<![A-Za-z0-9+.,:/-])(?:"
     r"\(?\+\d{1,3}\)?[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}"
@@ -45,14 +44,16 @@ ID = re.compile(
 )
 _STREET = "Street|St\\.|Avenue|Ave|Road|Rd|Lane|Ln|Blvd|Boulevard|Court|Ct|Drive|Terrace|Way|Place|Square|Close|Crescent|Row|Gardens|Grove|Hill|Parade|Mews|Walk"
 _UP = "A-ZÀ-ÖØ-ÞŒŠŽА-ЯЁ"
-ADDRESS = re.compile(
-    rf"(?<![\d\w])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \w{{1,4}},? )?\d{{1,4}}[a-z]? (?:[{_UP}][\w’'-]+ ){{1,3}}(?:{_STREET})(?!\w)"
-    rf"|(?<!\w)[{_UP}][\wäöüß-]*(?:[Ss]tr\.|STR\.|straße|strasse|STRASSE|STRAßE|[wW]eg|WEG|[aA]llee|ALLEE|[gG]asse|GASSE|[pP]latz|PLATZ|[uU]fer|UFER|[dD]amm|[rR]ing) \d{{1,4}} ?[a-z]?(?![\w])"
-    rf"|(?<![\d\w])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|quai|impasse|boulevard|place|chemin|allée|cours|route|square|passage|ruelle) (?:(?:de la |du |des |de |de l[’']|d[’']))?[{_UP}][\w’'-]+(?: [{_UP}][\w’'-]+)*(?:, (?:apt\.?|appt|esc\.?|bât\.?|étage) ?\w+)*"
-    rf"|(?<![\w/])(?:C/|Calle|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|P\.º|Camino|Ronda|Travesía) ?(?:(?:de la|de las|de los|del|de) )?[{_UP}][\w’'-]+(?: [{_UP}][\w’'-]+)*,? (?:n\.?[º°o] ?)?\d{{1,4}}(?:, ?(?:\d{{1,2}}\.?[ºª°] ?[A-Za-z]{{0,3}}\b|(?:piso|esc\.|pta\.|puerta|bajo|ático) ?\w*))*"
-    r"|(?:ул\.|улица|просп\.|пр-т|пер\.|наб\.|бульвар) [А-ЯЁ][\w-]+(?: [А-ЯЁ][\w-]+)?, (?:д\.|дом) ?\d+\w?(?:, (?:кв\.|корп\.|стр\.|оф\.|под\.|к\.) ?\d+\w?)*"
-    r"|(?:(?<=住在)|(?<=请寄)|(?<=寄到)|(?<=地址：)|(?<=位于)|(?<=寄往)|(?<![一-鿿])|(?<=于)|(?<=在)|(?<=寄))[一-鿿]{2,4}?(?:大道|路|街|巷|道|胡同|弄)\d+号(?:\d+(?:栋|幢|号楼))?(?:\d+单元)?(?:\d+室)?(?:\d+楼)?"
-)
+ADDRESSES = [
+    (tuple(f" {w}" for w in _STREET.replace("\\", "").split("|")), re.compile(rf"(?<![\d\w])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \w{{1,4}},? )?\d{{1,4}}[a-z]? (?:[{_UP}][\w’'-]+ ){{1,3}}(?:{_STREET})(?!\w)")),
+    (("tr.", "TR.", "traße", "trasse", "TRASSE", "TRAßE", "eg ", "EG ", "llee", "LLEE", "asse ", "ASSE ", "latz", "LATZ", "fer ", "FER ", "amm ", "ing "), re.compile(rf"(?<!\w)[{_UP}][\wäöüß-]*(?:[Ss]tr\.|STR\.|straße|strasse|STRASSE|STRAßE|[wW]eg|WEG|[aA]llee|ALLEE|[gG]asse|GASSE|[pP]latz|PLATZ|[uU]fer|UFER|[dD]amm|[rR]ing) \d{{1,4}} ?[a-z]?(?![\w])")),
+    (("rue ", "avenue ", "quai ", "impasse ", "boulevard ", "place ", "chemin ", "allée ", "cours ", "route ", "square ", "passage ", "ruelle "), re.compile(rf"(?<![\d\w])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|quai|impasse|boulevard|place|chemin|allée|cours|route|square|passage|ruelle) (?:(?:de la |du |des |de |de l[’']|d[’']))?[{_UP}][\w’'-]+(?: [{_UP}][\w’'-]+)*(?:, (?:apt\.?|appt|esc\.?|bât\.?|étage) ?\w+)*")),
+    (("C/", "Calle", "Avda", "Avenida", "Plaza", "Pza", "Paseo", "P.º", "Camino", "Ronda", "Travesía"), re.compile(rf"(?<![\w/])(?:C/|Calle|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|P\.º|Camino|Ronda|Travesía) ?(?:(?:de la|de las|de los|del|de) )?[{_UP}][\w’'-]+(?: [{_UP}][\w’'-]+)*,? (?:n\.?[º°o] ?)?\d{{1,4}}(?:, ?(?:\d{{1,2}}\.?[ºª°] ?[A-Za-z]{{0,3}}\b|(?:piso|esc\.|pta\.|puerta|bajo|ático) ?\w*))*")),
+    (("ул.", "улица", "просп.", "пр-т", "пер.", "наб.", "бульвар"), re.compile(r"(?:ул\.|улица|просп\.|пр-т|пер\.|наб\.|бульвар) [А-ЯЁ][\w-]+(?: [А-ЯЁ][\w-]+)?, (?:д\.|дом) ?\d+\w?(?:, (?:кв\.|корп\.|стр\.|оф\.|под\.|к\.) ?\d+\w?)*")),
+    (("号",), re.compile(r"(?:(?<=住在)|(?<=请寄)|(?<=寄到)|(?<=地址：)|(?<=位于)|(?<=寄往)|(?<![一-鿿])|(?<=于)|(?<=在)|(?<=寄))[一-鿿]{2,4}?(?:大道|路|街|巷|道|胡同|弄)\d+号(?:\d+(?:栋|幢|号楼))?(?:\d+单元)?(?:\d+室)?(?:\d+楼)?")),
+]
+#: Six digits at least, which every telephone or identity number has, but for one shape.
+_NUMBERS = re.compile(r"\d(?:[ ().+/-]{0,3}\d){5}|[A-Z]\d\d[A-Z]\d{5}")
 
 # -- context (fixed values) ---------------------------------------------------------------------------------------
 
@@ -157,7 +158,7 @@ class Gazetteer:
 
 class Finder:
     def __init__(self, gazetteer: Gazetteer, model: Model | None = None):
-        self.g, self.model = gazetteer, model
+        self.g, self.model, self.roles = gazetteer, model, {}
         self.han = re.compile(f"[{gazetteer.han_family}][一-鿿]{{1,2}}") if gazetteer.han_family else None
 
     # -- candidates -----------------------------------------------------------------------------------------------
@@ -169,11 +170,12 @@ class Finder:
         def free(a: int, b: int) -> bool:
             return all(b <= x or a >= y for x, y in taken)
 
-        digits = any(c.isdigit() for c in text)
         found: list[Span] = []
-        for kind, pattern in (("email", EMAIL), ("id", ID), ("phone", PHONE), ("address", ADDRESS)):
-            if kind == "email" and not ("@" in text or "at" in text) or kind != "email" and not digits:
-                continue
+        patterns = [("email", p) for guards, p in EMAILS if any(g in text for g in guards)]
+        if _NUMBERS.search(text):
+            patterns += [("id", ID), ("phone", PHONE)]
+        patterns += [("address", p) for guards, p in ADDRESSES if any(g in text for g in guards)]
+        for kind, pattern in patterns:
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if kind == "phone" and text[a] == "(" and text.count("(", a, b) != text.count(")", a, b):
@@ -223,6 +225,14 @@ class Finder:
 
     def _role(self, token: str) -> str:
         """T title, I initial, G given, F family, S function word, W word of organisations, O other."""
+        known = self.roles.get(token)
+        if known is None:
+            if len(self.roles) > 1 << 16:
+                self.roles.clear()
+            known = self.roles[token] = self._role_of(token)
+        return known
+
+    def _role_of(self, token: str) -> str:
         w = token.rstrip(".").lower()
         if w in _TITLE:
             return "T"
