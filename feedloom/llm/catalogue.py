@@ -67,16 +67,16 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).select("item_id", "field_name", "affected", "restored", "text")
 
 
-def _marked(spark: SparkSession, d: str) -> DataFrame:
+def _marked(spark: SparkSession, d: str, convert: bool = True) -> DataFrame:
     """(item_id, host, field_name, m STRUCT<kinds, clean>) of each description and content."""
     x = spread(table(spark, d, "rss_items").select("item_id", host_of(F.col("feed")).alias("host"), "description", "content"))
     one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("body"))
     x = x.select("item_id", "host", F.explode(F.array(one("description"), one("content"))).alias("f")).select("item_id", "host", "f.field_name", "f.body")
-    return markup_ops.with_markup(x, "body", "m")
+    return markup_ops.with_markup(x, "body", "m", convert)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _marked(spark, d).select("item_id", "field_name", F.explode("m.kinds").alias("markup"))
+    return _marked(spark, d, convert=False).select("item_id", "field_name", F.explode("m.kinds").alias("markup"))
 
 
 def p6_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -184,11 +184,14 @@ def _from_latex(t: str) -> str:
     return re.sub(r"(?<=\w)~(?=\w)", " ", t)
 
 
-def clean(text: str | None) -> str | None:
-    """Clean text with its structure kept; null stays null, a text without markup comes back unchanged."""
+def clean(text: str | None, found: set[str] | None = None) -> str | None:
+    """Clean text with its structure kept; null stays null, a text without markup comes back unchanged.
+
+    `found` are the kinds of markup where they are known already.
+    """
     if not text:
         return text
-    found = kinds(text)
+    found = kinds(text) if found is None else found
     if not found:
         return text
     t = text.replace("\r\n", "\n")

@@ -14,9 +14,11 @@ from feedloom.llm import markup
 from feedloom.llm.site_lines import digest
 
 
-def with_markup(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_markup(df: DataFrame, text: str, out: str, convert: bool = True) -> DataFrame:
     """Add `out` STRUCT<kinds ARRAY<STRING>, clean STRING>; null texts have no kinds and a null clean text.
 
+    With `convert` off only the kinds are told and `clean` is null.
+
     Texts without any sign of markup come back as they are. Nothing is shuffled; rows and columns pass through.
     """
     field = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType())])
@@ -26,7 +28,8 @@ def with_markup(df: DataFrame, text: str, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            found = pa.array([{"kinds": sorted(markup.kinds(t)), "clean": markup.clean(t)} for t in texts], kind)
+            kinds = [markup.kinds(t) for t in texts]
+            found = pa.array([{"kinds": sorted(k), "clean": markup.clean(t, k) if convert else None} for t, k in zip(texts, kinds, strict=True)], kind)
             yield pa.RecordBatch.from_arrays([*b.columns, found], names=schema.names)
 
     return df.mapInArrow(run, schema)
