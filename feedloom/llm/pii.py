@@ -285,7 +285,7 @@ class Finder:
                 if later:
                     role, then = self._role(later[1]), re.compile(rf" ({_CAP})").match(text, later.end())
                     known = role == "G" or role == "O" and len(later[1]) > 2 and (_AFTER["name"].match(text[later.end() :][:30]) or _CUE["name"].search(text[max(0, a - 30) : a]))
-                    if known and not (then and self._role(then[1]) == "F"):
+                    if known and not (role == "O" and re.match(r" \d", text[later.end() :])) and not (then and self._role(then[1]) == "F"):
                         b = later.end()
             out.append(self._name(text, a, b, m[0], word, roles, tokens, end))
             i = end
@@ -304,6 +304,8 @@ class Finder:
         end_vote = 1 if any(g.like_family(p) for p in parts) else 0
         shape = 1 if len(parts) > 1 else -1
         opens = self._opens(text, a) or re.search(r"(?:[,:]|regards|Grüßen|Cheers)\s$", before) is not None
+        if not opens and not re.match(r"\s?\d", after):  # right behind a number or an address of mail
+            opens = re.search(r"(?:\S*[@\d]\S*|\.[a-z]{2,}|\bdot \w+)[>\])]?\s$", before) is not None
         closes = not after or after[0] == "\n" or re.match(rf"\s(?:[{_UP}\d„«“\"¿(]|[一-鿿])", after) is not None or re.match(r"[.。]?\s*(?:\n|\Z)", after) is not None
         org = end < len(tokens) and roles[end] == "W"
         left = 1 if _CUE["name"].search(before) else -1 if _NOT_BEFORE["name"].search(before) and len(parts) == 1 else 0
