@@ -285,7 +285,7 @@ class Finder:
                 if later:
                     role, then = self._role(later[1]), re.compile(rf" ({_CAP})").match(text, later.end())
                     known = role == "G" or role == "O" and len(later[1]) > 2 and (_AFTER["name"].match(text[later.end() :][:30]) or _CUE["name"].search(text[max(0, a - 30) : a]))
-                    if known and not (role == "O" and re.match(r" \d", text[later.end() :])) and not (then and self._role(then[1]) == "F"):
+                    if known and not (role == "O" and re.match(r"\.? \d", text[later.end() :])) and not (then and self._role(then[1]) == "F"):
                         b = later.end()
             out.append(self._name(text, a, b, m[0], word, roles, tokens, end))
             i = end
