@@ -39,7 +39,7 @@ SIDEBAR = re.compile(
 _PARTS = [
     # consent
     r"cookies?\b.{0,90}(?:accept|refuse|agree|reject|got it|choices|no thanks|fine by me|policy|count visits)",
-    r"(?:cookies?|identifiers|tracking tags|similar tools|small (?:text )?files|data about your visit)\b.{0,80}(?:in order to|so that we can|to remember|logged in|measure visits|partners|your mind|fitting adverts|for our newsroom|\\[x\\] close|privacy notice|only needed|accept \\| refuse|to improve .{1,40}\\. (?:ok|settings))",
+    r"(?:cookies?|identifiers|tracking tags|similar tools|small (?:text )?files|data about your visit)\b.{0,80}(?:in order to|so that we can|to remember|logged in|measure visits|partners|your mind|fitting adverts|for our newsroom|\\[x\\] close|privacy notice|only needed|accept \\| refuse|to improve .{1,40}\\.)",
     r"(?:we (?:use|place|read)|would like to set|stores?|our pages (?:use|place|read)) (?:cookies|identifiers|small (?:text )?files|tracking tags)",
     r"partners? (?:process|use|store) .{0,40}(?:data|cookies)|on this page use cookies|use cookies and similar",
     r"verwendet cookies|daten auf ihrem gerät|cookies? .{0,60}(?:einverstanden|zustimmen|ablehnen|verstanden)|mit der nutzung erklären",

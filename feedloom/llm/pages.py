@@ -18,6 +18,8 @@ from feedloom.llm.furniture import SIDEBAR, fold, is_furniture
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _CLASS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: What no reader sees: scripts and styles, whole or to the end of the line, and elements that are not displayed.
+_UNSEEN = re.compile(r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(\w+)\b[^>]*display:\s*none[^>]*>[^<]*</\2\s*>")
 _HAN = re.compile("[぀-ヿ㐀-鿿]")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 _BLOCKS = {"div", "section", "article", "main", "body", "html", "ul", "ol", "table", "tbody", "tr", "td", "nav", "aside", "header", "footer", "form", "dl", "blockquote"}
@@ -54,7 +56,19 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
     parents: dict[int, int] = {}
     names: dict[int, tuple[str, str]] = {0: ("", "")}
     stack, nodes, is_html, in_code = [(0, "")], 0, "<" in text and ">" in text, False
+    hides = "<script" in text or "<style" in text or "display:" in text or "<template" in text
+    ends = ""  # the tag that ends a script or style that goes on
     for number, raw in enumerate(text.split("\n"), 1):
+        if hides:
+            if ends:
+                at = raw.lower().find(ends)
+                if at < 0:
+                    continue
+                raw, ends = raw[at + len(ends) + 1 :], ""
+            opened = re.search(r"(?i)<(script|style|template)\b[^>]*>(?!.*</\1)", raw)
+            if opened:
+                ends = f"</{opened[1].lower()}"
+            raw = _UNSEEN.sub(" ", raw)
         own: tuple[str, str] | None = None
         link = 0
         before = stack[-1][0]
