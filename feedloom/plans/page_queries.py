@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators import article, dom
+from feedloom.plans import pipelines
 from feedloom.plans.store_queries import now
 from feedloom.session import spread, table
 from feedloom.sources import feeds as S
@@ -50,6 +51,16 @@ def q_rss(spark: SparkSession, d: str) -> DataFrame:
     return S.to_entries(S.read_feeds(_rss(spark, d)), now()).groupBy("feed").agg(F.count("*").alias("items"), F.sum(F.length("title")).alias("title_chars"))
 
 
+def q_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of all feeds whose documents are the items of each feed, into an empty store: what it adds."""
+    feeds, entries = table(spark, d, "feeds"), table(spark, d, "entries").limit(0)
+    return pipelines.crawl(feeds, entries, _rss(spark, d), now()).added.select("link", "guid", "title", "status")
+
+
+def q_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.diagnostics(table(spark, d, "entries"))
+
+
 OPML = '<opml><body><outline title="news"><outline title="A" xmlUrl="http://a/"/><outline title="deep"><outline title="B" xmlUrl="http://b/"/></outline></outline><outline title="top" xmlUrl="http://t/"/></body></opml>'
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><link rel="self" href="http://f/"/><category term="x"/><entry><title>E</title><link rel="alternate" href="http://e/1"/><link rel="alternate" href="http://e/2"/><id></id><summary>a</summary><content>bc</content></entry></feed>'
 
@@ -62,7 +73,7 @@ def q_atom(spark: SparkSession, d: str) -> DataFrame:
     return S.to_entries(S.read_feeds(spark.createDataFrame([("u", ATOM)], "uri string, xml string")), now()).select("title", "link", "guid", "feed", "category", "body")
 
 
-QUERIES = {f.__name__: f for f in (q_extract_pages, q_page_counts, q_node_counts, q_fragments, q_rss, q_opml, q_atom)}
+QUERIES = {f.__name__: f for f in (q_extract_pages, q_page_counts, q_node_counts, q_fragments, q_rss, q_opml, q_atom, q_crawl, q_diagnostics)}
 SQL = {
     "q_rss": r"SELECT feed, count(*) AS items, CAST(sum(length(regexp_replace(coalesce(title, ''), '[^\x{09}\x{0A}\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g'))) AS BIGINT) AS title_chars FROM rss_items GROUP BY feed",
     "q_opml": "SELECT * FROM (VALUES ('http://a/', 'A', 60), ('http://b/', 'B', 60)) t(link, title, ttl)",
