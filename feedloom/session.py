@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ def local_session(name: str = "feedloom", cores: str = "8", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once for each application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_feedloom_shipped", None) != sc.applicationId:
+        here = Path(__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="feedloom-")) / "feedloom.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f"feedloom/{f.relative_to(here)}")
+        sc.addPyFile(str(path))  # the driver serves it to all workers
+        sc._feedloom_shipped = sc.applicationId
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
