@@ -168,12 +168,15 @@ def _cuts(short: DataFrame, wanted: list[tuple]) -> list[tuple]:
     sums = short.groupBy("pattern", part).agg(F.sum("n").alias("n"))
     before = Window.partitionBy("pattern").orderBy("part")  # SLICES rows of a pattern at most
     sums = sums.withColumn("start", F.sum("n").over(before) - F.col("n"))
-    near = sums.join(F.broadcast(cuts), "pattern").where("cut >= start AND cut <= start + n").select("pattern", "part", "start").distinct()
+    at = sums.join(F.broadcast(cuts), "pattern").where("cut >= start AND cut <= start + n").groupBy("pattern", "cut").agg(F.max(F.struct("part", "start")).alias("at")).select("pattern", "cut", "at.part", "at.start")
+    near = at.select("pattern", "part", "start").distinct()
     inside = short.withColumn("part", part).join(near, ["pattern", "part"])
     order = Window.partitionBy("pattern", "part").orderBy("place")
     middle = inside.withColumn("mid", F.col("start") + F.sum("n").over(order) - F.col("n") / 2)
-    last = middle.join(F.broadcast(cuts), "pattern").where("mid < cut").groupBy("pattern", "cut").agg(F.max("place").alias("last"))
-    return [(tuple(r["pattern"]), r["cut"], r["last"] + 1) for r in last.collect()]  # a row for each cut
+    last = middle.join(at.drop("start"), ["pattern", "part"]).where("mid < cut").groupBy("pattern", "cut").agg(F.max("place").alias("last"))
+    got = at.join(last, ["pattern", "cut"], "left").collect()  # a row for each cut
+    # where no document of the slice lies before the cut, the cut is where the slice begins
+    return [(tuple(r["pattern"]), r["cut"], r["part"] << 52 if r["last"] is None else r["last"] + 1) for r in got]
 
 
 def plan(docs: DataFrame, targets: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
