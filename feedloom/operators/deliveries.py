@@ -74,14 +74,20 @@ def deletion_vectors(spark: SparkSession, path: str) -> DataFrame:
     return gone.groupBy("file", F.expr(f"pos div {SLICE}").alias("slice")).agg(F.collect_list(F.expr(f"cast(pos % {SLICE} AS INT)")).alias("rows"))
 
 
+def _locate(uri: str):
+    """The file system and path of a file as the scan names it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
 def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     for batch in batches:
         out: dict[str, list] = {"file": [], "group": [], "first": [], "size": []}
         for uri in batch.column("file").to_pylist():
-            store, where = fs.FileSystem.from_uri(uri)
+            store, where = _locate(uri)
             meta, first = pq.read_metadata(where, filesystem=store), 0
             for g in range(meta.num_row_groups):
                 n = meta.row_group(g).num_rows
@@ -95,7 +101,7 @@ def keep_one(spark: SparkSession, path: str) -> DataFrame:
     """All columns of the table at `path`, with one row of each message: the one delivered first.
 
     Rows without any identifier are all kept; an empty table gives an empty one; extra columns pass through.
-    The footers are read by the executors.
+    The footers are read by the executors. Columns of a table come from its files, not from folder names.
     """
     wide = spark.read.parquet(path)
     schema, arrow = wide.schema, to_arrow_schema(wide.schema)
@@ -109,11 +115,10 @@ def keep_one(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for batch in batches:
             for row in batch.to_pylist():
-                store, where = fs.FileSystem.from_uri(row["file"])
+                store, where = _locate(row["file"])
                 drop = {g["slice"] * SLICE + r for g in row["gone"] for r in g["rows"] or ()}
                 drop = np.fromiter(drop, dtype=np.int64, count=len(drop))
                 at = row["first"]

@@ -1,4 +1,4 @@
-"""The reference flows end to end, as compositions of operators: crawl, subscribe, extract, and the diagnostic read."""
+"""Whole flows as compositions of operators: crawl, subscribe, extract, and the diagnostic read."""
 
 from __future__ import annotations
 

@@ -58,7 +58,7 @@ def test_updates(spark):
     assert list(row) == [0, 4]
 
 
-LIST = ["[AutoProxy 0.2.9]", "! comment", "||example.org", "||exa", "|http://ads.test/", "|https://sec.test/x*y", "@@||good.example.org", "tracker.test/pix*gif", "ab*c.test", "/^https?:\\/\\/re\\.test/", "", None]
+LIST = ["[list 1.0]", "! comment", "||example.org", "||exa", "|http://ads.test/", "|https://sec.test/x*y", "@@||good.example.org", "tracker.test/pix*gif", "ab*c.test", "/^https?:\\/\\/re\\.test/", "", None]
 URLS = [
     ("http://www.example.org/a", 1), ("https://example.org", 1), ("http://good.example.org/", 0), ("http://notexample.organic/", 1), ("http://ads.test/banner", 1), ("https://ads.test/banner", 0),
     ("https://sec.test/x1y", 1), ("http://sec.test/x1y", 0), ("http://cdn.tracker.test/pix/1.gif", 1), ("https://cdn.tracker.test/pix/1.gif", 0), ("tracker.test/pix.gif", 0), ("http://abxc.test/", 0),
