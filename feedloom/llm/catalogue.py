@@ -11,13 +11,13 @@ from feedloom.session import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "entries").select("entry_id", "summary", "feed", "updated")
+    x = spread(table(spark, d, "entries").select("entry_id", "summary", "feed", "updated"))
     x = site_lines.with_repeated(x, "feed", "summary", "updated", "numbers")
     return x.select("entry_id", F.explode("numbers").alias("line_no"))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "entries").select("entry_id", "summary", "feed", "updated")
+    x = spread(table(spark, d, "entries").select("entry_id", "summary", "feed", "updated"))
     x = site_lines.with_repeated(x, "feed", "summary", "updated", "numbers")
     return x.select("entry_id", site_lines.without_lines(F.col("summary"), F.col("numbers")).alias("summary"), F.size("numbers").alias("removed"))
 
@@ -26,7 +26,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     """(tab, rec_id, host, day, body) of the texts that may be whole pages."""
     host = host_of(F.col("feed")).alias("host")
     items = table(spark, d, "rss_items").select(F.lit("rss_items").alias("tab"), F.col("item_id").alias("rec_id"), host, F.col("fetched").alias("day"), F.col("content").alias("body"))
-    return items.unionAll(table(spark, d, "entries").select(F.lit("entries").alias("tab"), F.col("entry_id").alias("rec_id"), host, F.col("updated").alias("day"), F.col("summary").alias("body")))
+    return spread(items.unionAll(table(spark, d, "entries").select(F.lit("entries").alias("tab"), F.col("entry_id").alias("rec_id"), host, F.col("updated").alias("day"), F.col("summary").alias("body"))))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
