@@ -63,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
-            if not sc.master.startswith("local["):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             where = os.path.join(tempfile.gettempdir(), "feedloom-checkpoints")
         sc.setCheckpointDir(where)
