@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from functools import lru_cache
 
 from feedloom.llm.furniture import fold, is_furniture
 
@@ -47,7 +46,7 @@ _WHOLE = [
     rf"error: the requested url could not be retrieved.*|{_STATUS} ?\([45]\d\d\)|(?:error|fehler|erreur|ошибка) ?[45]\d\d\.?",
     r"access denied\.?(?:you are not.*)?|you (?:are not authorized|don't have permission).*|forbidden\.?|page not found.{0,80}|not found\.?",
     r"error establishing a database connection\.?|fatal error: .*|warning: .{0,40}(?:function|include|mysql|array).*|parse error: .*|uncaught .*|traceback \(most recent call last\):?.*|[a-z]*(?:error|exception): .{0,80}|(?:java|org|com|javax)(?:\.\w+)+(?:exception|error).*|\tat .*|at \w+(?:\.\w+)+\(.*\)",
-    r"(?:oops|sorry|whoops)\b.{0,100}|.{0,30}something went wrong.{0,60}|(?:x{3,} ?)+|系统繁忙.{0,30}|.{0,20}(?:请稍后再试|稍后重试).{0,20}|(?:this|the) (?:page|site) (?:cannot|can't|could not) be .{0,60}|bad gateway\b.*|this (?:account|site|page) has been suspended.*|the domain \S+ (?:is (?:parked|for sale)|has expired).*|.{0,60}upstream .{0,60}did not answer.*",
+    r"(?:oops|sorry|whoops)\b.{0,100}|.{0,30}something went wrong.{0,60}|x{3,}(?: x{3,})* ?|系统繁忙.{0,30}|.{0,20}(?:请稍后再试|稍后重试).{0,20}|(?:this|the) (?:page|site) (?:cannot|can't|could not) be .{0,60}|bad gateway\b.*|this (?:account|site|page) has been suspended.*|the domain \S+ (?:is (?:parked|for sale)|has expired).*|.{0,60}upstream .{0,60}did not answer.*",
     r"too many requests\b.*|down for maintenance.*|(?:the )?site is (?:temporarily )?(?:down|under maintenance).*|your session has expired.*|(?:please )?log in again.*|the requested .{1,40} (?:was not found|could not be).*|service unavailable.*|we will be back (?:shortly|soon).*",
     r"fehler \d+: .*|seite nicht gefunden\b.*|zugriff verweigert.*|page introuvable\b.*|accès refusé.*|página no encontrada\b.*|acceso denegado.*|страница не найдена.*|доступ запрещ.н.*|.{0,12}页面不存在.*|(?:404|找不到页面|访问被拒绝|服务器错误).{0,20}|wartungsarbeiten.*|en maintenance.*",
     # scripts and browser checks
@@ -71,26 +70,6 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 
 
-#: What the kinds of evidence have in common, to pass over most texts at once.
-HINTS = ("{{", "${", "#{", "%(", "%%", "@@", "__", "[insert", "[add ", "[your ", "[enter ", "{%", "<%", "*|", "{", "null", "undefined", "nan", "none", "nil", "n/a", "tbd", "tba",
-         "[object", "test", "asdf", "qwer", "foo ", "blindtext", "sample", "hello world", "your ", "goes here", "todo", "no description", "no summary", "no content", "no title", "no text",
-         "placeholder", "dummy", "platzhalter", "factice", "relleno", "coming soon", "under construction", "error", "fehler", "erreur", "ошибка", "40", "41", "42", "50", "denied", "authorized",
-         "permission", "forbidden", "not found", "traceback", "exception", "too many", "maintenance", "session", "requested", "unavailable", "back shortly", "zugriff", "nicht gefunden",
-         "introuvable", "refusé", "encontrada", "denegado", "не найдена", "доступ", "不存在", "找不到", "被拒绝", "服务器错误", "wartung", "javascript", "scripts", "loading", "robot", "human",
-         "checking your", "a moment", "captcha", "ddos", "lorem", "ipsum", "dolor", "quovat", "untitled", "aquí va", "ici le texte", "à venir", "prueba", "此处", "测试", "тестов", "(no ", "hier ", "nothing", "missing", "скрипт", "scripting", " js", "oops", "sorry", "went wrong", "xxx", "系统繁忙", "稍后", "cannot be", "gateway", "suspended", "parked", "for sale", "expired", "upstream", "by script")
-
-
-@lru_cache(maxsize=1)
-def _scan():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w in HINTS:
-        a.add_word(w, w)
-    a.make_automaton()
-    return a
-
-
 def visible_lines(text: str) -> list[str]:
     """The visible lines of a text, each block of HTML on a line of its own."""
     if "<" in text:
@@ -100,27 +79,12 @@ def visible_lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip()]
 
 
-def _sought(text: str) -> list[str]:
-    """The lines of a text that hold a hint."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out, end = [], -1
-    for at, _ in _scan().iter(low):
-        if at > end:
-            begin = text.rfind("\n", 0, at) + 1
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            out.append(text[begin:end])
-    return out
-
-
 def _evidence(line: str) -> str | None:
     """What the whole of a visible line says: 'whole', 'missing', 'filler' or nothing."""
     known = _KNOWN.get(line)
     if known is None:
         f, known = fold(line), ""
-        if len(f) <= 200 and WHOLE.fullmatch(f) or (len(f) < 150 and _NEEDS.search(f) and not _ABOUT.search(f)):
+        if WHOLE.fullmatch(f) or (len(f) < 150 and _NEEDS.search(f) and not _ABOUT.search(f)):
             known = "missing" if _MISSING.search(f) else "whole"
         else:
             words = _WORDS.findall(f)
@@ -141,18 +105,13 @@ _OPENERS = ("{", "%", "@@", "__", "[", "*|")
 def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
     """The kinds of evidence in a text; `repeated` has the numbers from 1 of its lines that recur in the host.
 
-    Null, empty and blank texts have none. Only lines with a hint are looked at; whether they are the text's substance
-    is judged by what else remains of it without recurrent lines and furniture.
+    Null, empty and blank texts have none. Each visible line is compared with all patterns; whether those that match
+    are the text's substance is judged by what else remains of it without recurrent lines and furniture.
     """
     if not text:
         return set()
     found: set[str] = set()
-    sought = _sought(text)
-    if not sought and not any(x in text for x in _OPENERS):
-        return found
     bare = _FENCE.sub(" ", text) if "`" in text or "<" in text else text
-    if bare is not text:
-        sought = _sought(bare)
     if any(x in bare for x in _OPENERS):
         for m in PLACEHOLDER.finditer(bare):
             begin = max(bare.rfind("\n", 0, m.start()), bare.rfind(". ", 0, m.start())) + 1
@@ -160,8 +119,8 @@ def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
             if not EXPLAINED.search(bare[begin : m.start()] + " " + bare[m.end() : end]):
                 found.add("placeholder")
                 break
-    hits = 0
-    for raw in sought:
+    hits, rest = 0, []
+    for i, raw in enumerate(bare.split("\n"), 1):
         for x in visible_lines(raw):
             what = _evidence(x)
             if what == "filler":
@@ -170,13 +129,14 @@ def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
                 hits += 1
                 if what == "missing":
                     found.add("missing value")
+            else:
+                rest.append((i, x))
     if hits:
         drop, prose = set(repeated or ()), 0
-        for i, raw in enumerate(bare.split("\n"), 1):
+        for i, x in rest:
             if i not in drop:
-                for x in visible_lines(raw):
-                    long = len(x) > 110 or len(x) > 80 and len(_SENTENCE.split(x)) > 1
-                    prose += long and not _evidence(x) and not is_furniture(x)
+                long = len(x) > 110 or len(x) > 80 and len(_SENTENCE.split(x)) > 1
+                prose += long and not is_furniture(x)
         if hits >= prose:
             found.add("error, filler or scripts")
     return found

@@ -105,6 +105,19 @@ def test_residue():
     assert [x for x in GOOD if residue.kinds(x)] == []
 
 
+ALONE = [
+    "Please log in again.", "Please enable cookies.", "We will be back soon.", "The site is down", "This page could not be displayed", "Warning: include(header.php) failed to open stream", "blah blah blah", "jkl jkl", "missing", "Your text here", "foo bar baz foo bar baz",
+    "Ut enim ad minim veniam, quis nostrud exercitation", "Excepteur sint occaecat cupidatat non proident", "Duis aute irure reprehenderit voluptate velit esse", "Are you a robot?", "Accès refusé", "En maintenance", "Bad gateway", "Cette page nécessite JS", "Diese Seite braucht JS", "at org.x.Reader(Reader.java:12)",
+    "Fatal error: " + "Call to undefined method Reader::open() in /srv/www/reader.php " * 5, "Traceback (most recent call last): " + "File /srv/reader.py in read " * 10, "Your session has expired. " + "Go back to the form and send it once more. " * 6,
+]
+
+
+def test_residue_of_every_line():
+    assert [x for x in ALONE if not residue.kinds(x)] == []
+    assert [x for x in ALONE if not residue.kinds(f"{x}\n© 2010 Notes. All rights reserved.")] == []
+    assert residue.kinds("x" * 5000 + "y") == set()  # no pattern may need time that grows by powers
+
+
 def test_tables(spark):
     texts = [PAGE, *BAD[:4], None, "", PROSE]
     x = page_ops.with_main(table(spark, texts), "feed", "summary", "updated", "page")
