@@ -128,9 +128,12 @@ def order_of(key: Column, seed: int) -> Column:
 
 
 def measured(docs: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int) -> DataFrame:
-    """(pattern, place, n): sorted distinct sources, place in the seeded order and tokens of each document."""
-    x = docs.select(F.array_sort(F.array_distinct(F.array_compact(F.col(sources)))).alias("pattern"), order_of(F.col(key), seed).alias("place"), F.col(text).alias("body"))
-    x = bpe.encode_column(x.where("size(pattern) > 0 AND length(body) > 0"), "body", "n", vocabulary, count_only=True)
+    """(pattern, place, n): sorted distinct sources, place in the seeded order and tokens of each document.
+
+    Documents of no source have the empty pattern: they count for the size of the corpus and are never taken.
+    """
+    x = docs.select(F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.col(sources)))), F.array().cast("array<string>")).alias("pattern"), order_of(F.col(key), seed).alias("place"), F.col(text).alias("body"))
+    x = bpe.encode_column(x.where("length(body) > 0"), "body", "n", vocabulary, count_only=True)
     return cut(x.select("pattern", "place", "n").where("n > 0"))
 
 
@@ -183,7 +186,7 @@ def plan(docs: DataFrame, targets: DataFrame, key: str, sources: str, text: str,
     """The ranges of the mixtures, the measured documents (pattern, place, n, size) and the places of long ones.
 
     Only sums by pattern, at most LONG long documents of each and the targets come to the driver; none grows with
-    the documents. Null and empty texts and documents of no source have no tokens and are never taken. Targets with a
+    the documents. Null and empty texts have no tokens; documents of no source count for the total only. Targets with a
     null source, share or cap count as absent. Empty tables give empty mixtures.
     """
     spark = docs.sparkSession
@@ -193,7 +196,7 @@ def plan(docs: DataFrame, targets: DataFrame, key: str, sources: str, text: str,
     totals = {tuple(r["pattern"]): r["total"] for r in sums.collect()}
     sizes = sizes.join(sums, "pattern").select("pattern", "place", "n", F.when(F.col("n") * LONG > F.col("total"), "long").otherwise("short").alias("size"))
     long: dict[tuple, list] = {}
-    for r in sizes.where("size = 'long'").select("pattern", "place", "n").collect():
+    for r in sizes.where("size = 'long' AND size(pattern) > 0").select("pattern", "place", "n").collect():
         long.setdefault(tuple(r["pattern"]), []).append((r["place"], r["n"]))
     docs_tokens = sum(totals.values())
     rows, wanted = [], []

@@ -154,6 +154,17 @@ def test_mixture(spark, vocabulary):
     assert none.count() == 0 and mixture.shares(none, sizes, targets).count() == 5
 
 
+def test_size_counts_documents_of_no_source(spark, vocabulary):
+    rows = [(i, [["s"], [None], None, []][i % 4], "word " * 20) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id int, sources array<string>, text string")
+    targets = spark.createDataFrame([(1, "s", 1.0, 4, 0.5)], "mix_id int, source string, target_share double, max_repeats int, size_factor double")
+    ranges, sizes, long = mixture.plan(docs, targets, "doc_id", "sources", "text", vocabulary)
+    used = mixture.mixture(docs, ranges, long, "doc_id", "sources").selectExpr("d.sources").collect()
+    assert abs(len(used) - 1000) <= 1 and all(u["sources"] == ["s"] for u in used)
+    share = mixture.shares(ranges, sizes, targets).collect()[0]
+    assert abs(share["share_of_size"] - 1) < 0.002 and share["documents"] == 500
+
+
 PARTS = [("Grant", "given", "en"), ("May", "given", "en"), ("Will", "given", "en"), ("Hope", "given", "en"), ("Björn", "given", "de"), ("Kofi", "given", "en"), ("Verwell", "family", "en"), ("Halwell", "family", "en"), ("Morwell", "family", "en"), ("Gribeck", "family", "en"), ("Villvert", "family", "fr"), ("Lindstätter", "family", "de"), ("沈", "family", "zh"), ("砚屿", "given", "zh"), ("Лугорев", "family", "ru"), ("Мирон", "given", "ru"), (None, "given", "en"), ("x", None, None)]
 MARKED = [
     "Write to ⟦name:Grant Gribeck⟧ (⟦email:mark.k@x.example⟧) if a link is broken.", "Questions go to <⟦email:a+b@c-d.co.test⟧> or by phone to ⟦phone:+1-212-555-0131 x7⟧.", "by mail ⟦email:editor at bramlin-mail dot example⟧ or ⟦email:info [at] larrenly [dot] invalid⟧", "mailto:⟦email:a@b.test⟧.",
