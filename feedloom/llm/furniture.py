@@ -97,8 +97,6 @@ _NEEDED = """cookie identifiers|tracking tags|similar tools|small files|small te
     copied|reproduced|republished|charity|rechte|nachdruck|ohne |droits|reproduction|derechos|prohibida|版权|转载|права|перепечатка|no part|powered|markup|shares|friend|share this|first on|never
     issues a year|personal|expressed|not of|contact|permalink|to post|комментари|仅供|личного|usage|uso |privaten|persönlichen""".replace("cookie identifiers", "cookie|identifiers").replace("\n", "|")
 _WORDS = sorted({w.strip(" ") if w.strip() not in ("ohne", "uso") else w.strip() + " " for w in _NEEDED.split("|") if w.strip()})
-#: Lines of more characters are prose.
-LONGEST = 320
 
 
 @lru_cache(maxsize=1)
@@ -118,11 +116,13 @@ def matches(folded: str) -> bool:
 
 _SEPARATORS = re.compile(r" *(?:\||/|·|»|›|>|::|•|—|→| - ) *|(?<=[a-z])-(?=[A-Z])|\s{2,}|(?<=\S),\s")
 
+_BLANKS = re.compile(" {3,}")
+
 
 def menu(line: str) -> bool:
     """Items of a menu, breadcrumbs or a footer in one line, or a single item; `line` has its white space as it is."""
-    line = _ZERO.sub("", line).strip()
-    if len(line) > 160 or line.endswith((".", "!", "?", "。")):
+    line = _BLANKS.sub("  ", _ZERO.sub("", line).strip())  # a separator begins with any number of blanks
+    if line.endswith((".", "!", "?", "。")):
         return False
     items = [fold(x) for x in _SEPARATORS.split(line) if x and x.strip()]
     if not items:
@@ -142,8 +142,6 @@ def is_furniture(line: str) -> bool:
     """Whether the visible text of a line is furniture by itself."""
     known = _SEEN.get(line)
     if known is None:
-        if len(line) > LONGEST:
-            return False
         known = menu(line) or matches(fold(line))
         if len(_SEEN) > 1 << 16:
             _SEEN.clear()

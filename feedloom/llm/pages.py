@@ -27,8 +27,6 @@ _BLOCKS = {"div", "section", "article", "main", "body", "html", "ul", "ol", "tab
 _FURNITURE_NAME = re.compile(r"(?i)\b(?:nav\w*|menu\w*|foot\w*|side\w*|aside|crumbs?|breadcrumbs?|consent|cookies?|tools?|share|sharing|social|skip\w*|comments?|promo|related|banner|ad|ads|sponsor\w*|popup|pager|pagination|legal|imprint|toolbar|widget\w*)\b")
 _FURNITURE_TAG = {"nav", "aside", "footer", "form", "script", "style", "noscript", "iframe"}
 _END = (".", "!", "?", "。", "！", "？", "”", "\"", "»", "“", ":", "…")
-#: A teaser list has a heading and at most so many items.
-TEASERS = 4
 
 
 @dataclass(slots=True)
@@ -50,6 +48,11 @@ def _prose(text: str) -> bool:
     return len(text) >= 60 or (len(text) >= 20 and not text.isascii() and len(text) + 2 * len(_HAN.findall(text)) >= 60)
 
 
+def _teaser(t: str) -> bool:
+    """A line below the heading of a sidebar that goes on with its titles: no sentence, paragraph or item of a list."""
+    return not (t.endswith((".", "。")) or len(t) > 110 or t[:1] in "•-*+" or _prose(t))
+
+
 def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]:
     """The visible lines of a page and the parent of each container."""
     out: list[Line] = []
@@ -165,9 +168,8 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
         if x.number in drop and not SIDEBAR.fullmatch(fold(x.text)) or not SIDEBAR.fullmatch(fold(x.text)):
             continue
         drop.add(x.number)
-        for y in lines[i + 1 : i + 1 + TEASERS]:
-            t = y.text.strip()
-            if t.endswith((".", "。")) or len(t) > 110 or t[:1] in "•-*+" or y.group != x.group or y.furniture:
+        for y in lines[i + 1 :]:
+            if not _teaser(y.text.strip()) or y.group != x.group or y.furniture:
                 break
             drop.add(y.number)
     # siblings of the best container without points of their own
@@ -179,7 +181,7 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
 
 def _plain(text: str, repeated: set[int]) -> tuple[list[int], list[int]]:
     """The same for a text without tags: its tree has one level, so all but furniture and teasers is the article."""
-    keep, drop, teasers, in_code = [], [], 0, False
+    keep, drop, teasers, in_code = [], [], False, False
     for number, raw in enumerate(text.split("\n"), 1):
         line = html.unescape(raw) if "&" in raw else raw
         if raw.startswith("```"):
@@ -189,16 +191,15 @@ def _plain(text: str, repeated: set[int]) -> tuple[list[int], list[int]]:
             continue
         if not in_code and (number in repeated or is_furniture(line)):
             drop.append(number)
-            teasers = 0
+            teasers = False
         elif len(t) < 60 and SIDEBAR.fullmatch(fold(t)):
             drop.append(number)
-            teasers = TEASERS
-        elif teasers and not (t.endswith((".", "。")) or len(t) > 110 or t[0] in "•-*+"):
+            teasers = True
+        elif teasers and not in_code and not raw.startswith("```") and _teaser(t):
             drop.append(number)
-            teasers -= 1
         else:
             keep.append(number)
-            teasers = 0
+            teasers = False
     return keep, drop
 
 

@@ -88,6 +88,18 @@ def test_tree_scoring():
     assert pages.main_lines(plain, [2]) == PROSE and pages.main_lines(None, []) is None
 
 
+def test_sidebars_and_furniture_of_any_length():
+    titles = [f"Notes on page {x}" for x in "abcdefgh"]
+    assert pages.split("\n".join([PROSE, "Most read", *titles, "Back to top"])) == ([1], list(range(2, 12)))
+    assert pages.split("\n".join([PROSE, "Most read", *titles, PROSE, "A heading"])) == ([1, 11, 12], list(range(2, 11)))
+    boxes = "\n".join(f'<li class="box">{x}</li>' for x in ["Most read", *titles])
+    assert pages.split(f"<div><p>{PROSE}</p>\n{boxes}\n<p>{PROSE}</p></div>") == ([1, 11], list(range(2, 11)))
+    legal = "The name, the marks and the pictures of these pages belong to those who made them. " * 4
+    assert furniture.is_furniture(legal + "All rights reserved.") and not furniture.is_furniture(legal)
+    assert furniture.is_furniture(" | ".join(["News", "Sport", "Help", "Contact"] * 10))
+    assert not furniture.is_furniture("a" + " " * 100000 + "b")
+
+
 BAD = [
     "{{ title }}", "Dear ${firstName}, your digest is ready.", "%(item.body)s", "%%POST_TITLE%%", "@@X_Y@@", "__CATEGORY__", "[INSERT TITLE HERE]", "{% block post %}", "Hello {0}, {1}!", "null", "NaN comments", "by undefined", "Published on [object Object]",
     "Lorem ipsum dolor sit amet consectetur.", "test test test", "TODO: add teaser", "No description available.", "(no content)", "foo bar baz foo bar baz", "404 Not Found", "HTTP Status 502 – Bad Gateway for /reader/618", "<h1>Error 403 (Forbidden)</h1><hr>", "ACCESS DENIED\nYou are not authorized to view this page.",
