@@ -106,23 +106,27 @@ def blocked(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
 def blocked_by_key(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
     """J5 for lists of any size: candidates share five characters, then the rule is verified.
 
-    Short rules meet short texts on their first characters. A rule of five bytes but less than five characters can't be
-    keyed, so these few take the broadcast path.
+    Short rules meet short texts on their first characters. A rule of five bytes but less than five characters is keyed
+    by all of it and meets the windows of two to four characters that have as many bytes.
     """
-    live = rules.where("kind <> 'regex'")
-    few = live.where(f"octet_length(sep) >= {KEY} AND length(sep) < {KEY}")
-    keyed = live.where(f"length(sep) >= {KEY} OR octet_length(sep) < {KEY}").withColumn("g", F.substring("sep", 1, KEY))
+    keyed = rules.where("kind <> 'regex'").withColumn("g", F.substring("sep", 1, KEY))
     u = _parsed(urls, key, url)
     grams = lambda c: F.when(F.length(c) >= KEY, F.transform(F.sequence(F.lit(1), F.length(c) - KEY + 1), lambda i: F.substr(c, i, F.lit(KEY)))).otherwise(F.array())
     starts = lambda c: F.when((F.octet_length(c) < KEY) & (F.length(c) > 0), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, F.lit(1), i))).otherwise(F.array())
+    size = lambda c, n: F.filter(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(n))), lambda w: F.octet_length(w) >= KEY)
+    few = lambda c: F.when(F.octet_length(c) > F.length(c), F.concat(*[size(c, n) for n in range(2, KEY)])).otherwise(F.array())
     host, rest = F.col("host"), F.col("rest")
-    windows = F.array_distinct(F.concat(grams(host), grams(rest), starts(host), starts(rest)))
+    windows = F.array_distinct(F.concat(grams(host), grams(rest), starts(host), starts(rest), few(host), few(rest)))
     pairs = u.select("k", "scheme", "host", "rest", F.explode(windows).alias("g")).alias("u").join(keyed.alias("r"), F.col("u.g") == F.col("r.g")).where(_holds("u", "r")).select("u.k", "r.kind")
-    more = u.alias("u").join(F.broadcast(few.limit(BROADCAST)).alias("r"), _holds("u", "r")).select("u.k", "r.kind")
-    return _decide(pairs.unionAll(more), urls, key)
+    return _decide(pairs, urls, key)
 
 
 def matches_regex(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
-    """J5f, off by default: (key) of URLs that a regex rule matches; only for few rules, which are broadcast."""
-    r = rules.where("kind = 'regex'").limit(BROADCAST).select("sep")
+    """J5f, off by default: (key) of URLs that a regex rule matches; only for few rules, which are broadcast.
+
+    Regular expressions have no key, so more than BROADCAST of them are an error.
+    """
+    r = rules.where("kind = 'regex'").select("sep")
+    if r.limit(BROADCAST + 1).count() > BROADCAST:
+        raise ValueError(f"more than {BROADCAST} regex rules")
     return urls.alias("u").join(F.broadcast(r).alias("r"), F.expr(f"u.`{url}` rlike r.sep"), "left_semi").select(key)

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import rules, store
@@ -73,3 +74,18 @@ def test_rules(spark):
         got = {x["id"]: x["blocked"] for x in f(u, r, "id", "url").collect()}
         assert [URLS[i][0] for i in got if got[i] != bool(URLS[i][1])] == [] and len(got) == len(URLS)
     assert [x["id"] for x in rules.matches_regex(u, r, "id", "url").collect()] == [12]
+
+
+def test_rules_of_few_characters_in_any_number(spark, monkeypatch):
+    monkeypatch.setattr(rules, "BROADCAST", 1)
+    lines = ["||新闻", "||论坛网", "|http://сайт", "天气*рек", "||новости", "@@||好新闻", "/a/", "/b/"]
+    r = rules.load(spark.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
+    want = [("http://www.新闻.test/", 1), ("http://x.论坛网/", 1), ("http://сайт.test/", 1), ("http://a.test/天气/рек", 1), ("http://a.test/рек/天气", 0), ("http://новости.test", 1), ("http://好新闻.test/", 0), ("http://a.сайт.test/", 0), ("http://新/", 0), ("新闻", 1)]
+    u = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(want)], "id int, url string")
+    got = {x["id"]: int(x["blocked"]) for x in rules.blocked(u, r, "id", "url").collect()}
+    assert [got[i] for i in range(len(want))] == [b for _, b in want]
+    monkeypatch.setattr(rules, "BROADCAST", 100)
+    assert got == {x["id"]: int(x["blocked"]) for x in rules.blocked(u, r, "id", "url").collect()}
+    monkeypatch.setattr(rules, "BROADCAST", 1)
+    with pytest.raises(ValueError):
+        rules.matches_regex(u, r, "id", "url")
