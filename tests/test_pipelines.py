@@ -1,9 +1,12 @@
 import datetime as dt
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from feedloom.plans import pipelines
+from feedloom.plans import page_queries, pipelines
+from feedloom.session import table
 from tests.test_pages_feeds import RSS
 
 FEEDS = "link string, title string, refresh timestamp, ttl int, category array<string>, disabled boolean"
@@ -34,3 +37,21 @@ def test_extract_and_fill(spark):
     assert row["status"] == 1 and row["content"]["words"] == 179 and row["image"] == ["i.png"]
     assert json.loads(pipelines.diagnostics(e).first()["json"])["link"] == "u"
     assert list(spark.range(1).select(pipelines.is_menu(F.lit(4), F.lit(2)), pipelines.is_menu(F.lit(4), F.lit(1)), pipelines.is_menu(F.lit(0), F.lit(0))).first()) == [True, False, False]
+
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
+def test_queries_read_whole_tables(spark, monkeypatch):
+    monkeypatch.setattr(page_queries, "ITEMS", 7)
+    have = {r[0] or "" for r in table(spark, D, "entries").select("link").collect()}
+    off = {r[0] for r in table(spark, D, "feeds").where("disabled").select("link").collect()}
+    items = {r["link"] or "" for r in table(spark, D, "rss_items").collect() if r["feed"] not in off}
+    added = [r["link"] for r in page_queries.q_crawl(spark, D).collect()]
+    assert items & have and sorted(added) == sorted(items - have - {""})
+    docs = page_queries._rss(spark, D)
+    assert max(r[0] for r in docs.selectExpr("size(split(xml, '<item>')) - 1").collect()) <= 7
+    assert page_queries.q_atom_entries(spark, D).count() == table(spark, D, "atom_entries").count()
+    got = sorted((r["link"], r["title"]) for r in page_queries.q_opml_feeds(spark, D).collect())
+    assert got == sorted((r["link"], r["title"] or "") for r in table(spark, D, "feeds").collect())
