@@ -39,8 +39,13 @@ def with_markup(df: DataFrame, text: str, out: str, convert: bool = True) -> Dat
 RUN, PAGES = 12, 5
 
 
+#: Characters of scripts that are written without blanks, each a token of its own.
+_UNSPACED = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+
+
 def _tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?<=\s)(?=\S)"), lambda x: x != "")
+    """Pieces between white space, which stays at their ends; Han and Kana characters and what stands between them."""
+    return F.filter(F.split(c, rf"(?<=\s)(?=\S)|(?<={_UNSPACED})(?=\S)|(?<=\S)(?={_UNSPACED})"), lambda x: x != "")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

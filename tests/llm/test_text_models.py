@@ -87,6 +87,14 @@ def test_unique_runs_against_brute_force(spark):
         assert got[i].split() == [x for k, x in enumerate(w) if k not in gone]
 
 
+def test_unique_runs_of_unspaced_text(spark):
+    notice = "本站会在您的设备上保存少量数据。知道了"
+    bodies = [f"{i}月图书馆重新开放于{a}{b}" for i, (a, b) in enumerate(zip("东南西北中上下", "山河湖海城镇村", strict=True))]
+    rows = [(i, "h", x + "\n" + notice) for i, x in enumerate(bodies[:5])] + [(i, "h", x) for i, x in enumerate(bodies[5:], 5)] + [(9, "other", notice)]
+    got = {r["id"]: r["u"] for r in markup_ops.unique_runs(spark.createDataFrame(rows, "id int, host string, text string"), "id", "host", "text", "u").collect()}
+    assert got == {**dict(enumerate(bodies)), 9: notice}
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     pytest.importorskip("public_tokenizers")
