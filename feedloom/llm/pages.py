@@ -174,7 +174,7 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
             drop.add(y.number)
     # siblings of the best container without points of their own
     for x in lines:
-        if best not in x.path and points[x.path[0]] < threshold and not x.prose:
+        if best not in x.path and points[x.path[0]] < threshold:
             drop.add(x.number)
     return [x.number for x in lines if x.number not in drop], sorted(drop)
 

@@ -100,6 +100,12 @@ def test_sidebars_and_furniture_of_any_length():
     assert not furniture.is_furniture("a" + " " * 100000 + "b")
 
 
+def test_prose_outside_the_best_container():
+    body = "\n".join(f"<p>{PROSE} {PROSE}</p>" for _ in range(6))
+    page = f"<div>\n{body}\n</div>\n<div>\n<p>Ashmoor Press of Holt answers for all that stands here and elsewhere.</p>\n</div>"
+    assert pages.split(page) == ([2, 3, 4, 5, 6, 7], [10])
+
+
 BAD = [
     "{{ title }}", "Dear ${firstName}, your digest is ready.", "%(item.body)s", "%%POST_TITLE%%", "@@X_Y@@", "__CATEGORY__", "[INSERT TITLE HERE]", "{% block post %}", "Hello {0}, {1}!", "null", "NaN comments", "by undefined", "Published on [object Object]",
     "Lorem ipsum dolor sit amet consectetur.", "test test test", "TODO: add teaser", "No description available.", "(no content)", "foo bar baz foo bar baz", "404 Not Found", "HTTP Status 502 – Bad Gateway for /reader/618", "<h1>Error 403 (Forbidden)</h1><hr>", "ACCESS DENIED\nYou are not authorized to view this page.",
