@@ -3,7 +3,8 @@
 Lines are counted by host first; recurrent boilerplate (lines repeated across a host's distinct texts, and lines that
 are furniture by themselves) is subtracted, and what remains is searched for evidence of five kinds: placeholders
 that were not filled, missing values printed as text, filler, error pages and notices that scripts are required.
-Evidence itself is never subtracted, for an error page may recur as often as a legal notice.
+A line that is evidence as a whole is never subtracted, for an error page may recur as often as a legal notice; a
+placeholder in a recurrent sentence is.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ _NAME = r"[A-Za-z_][\w]*(?:\.\w+)*"
 #: Placeholders in the syntaxes of common template engines. Wiki templates have capitals, blanks or bars inside.
 PLACEHOLDER = re.compile(
     rf"\{{\{{-? ?[a-z_]\w*(?:\.\w+)* ?(?: \| \w+ )?-?\}}\}}(?!\}})|\$\{{{_NAME}\}}|\#\{{{_NAME}\}}|%\({_NAME}\)[sd]|%%\w+%%|@@\w+@@|(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)"
-    rf"|\[(?:INSERT|ADD|YOUR|ENTER) [A-Z _]+\]|\{{%-? ?\w+ [^%}}]{{0,60}}%\}}|<%=? ?{_NAME} ?%>|\*\|[A-Z_]+\|\*|(?<![\w\\}}$#{{^])\{{(?:\d|[a-z]+(?:[._A-Z][a-zA-Z]+)*)\}}(?![\w{{}}])"
+    rf"|\[(?:INSERT|ADD|YOUR|ENTER) [A-Z _]+\]|\{{%-? ?\w+ [^%}}\n]*%\}}|<%=? ?{_NAME} ?%>|\*\|[A-Z_]+\|\*|(?<![\w\\}}$#{{^])\{{(?:\d|[a-z]+(?:[._A-Z][a-zA-Z]+)*)\}}(?![\w{{}}])"
 )
+#: Arguments by number. Software that fills them begins at 0.
+POSITIONAL = re.compile(r"\{\d\}")
 #: A sentence that explains a placeholder names the syntax it belongs to.
 EXPLAINED = re.compile(r"(?i)\b(?:type|write|prints?|calls?|called|theme|template|syntax|engine|placeholder|manual|variable|stands for|expands?|means|documentation)\b")
 
@@ -56,7 +59,7 @@ _WHOLE = [
     r"(?:bitte )?aktivieren sie javascript.*|bitte javascript .*|diese (?:anwendung|seite) benötigt javascript.*|(?:veuillez )?activer javascript.*|(?:por favor )?activ[ae] javascript.*|habilite javascript.*|(?:для просмотра )?включите (?:javascript|скрипты).*|请(?:启用|开启|打开) ?javascript.*|.{0,20}需要(?:启用)? ?javascript.*",
 ]
 WHOLE = re.compile("|".join(f"(?:{p})" for p in _WHOLE))
-#: A short line that asks for scripts, and words of sentences that report on such a line.
+#: A sentence that asks for scripts, and words of sentences that report on such a line.
 _NEEDS = re.compile(
     r"(?:\b(?:javascript|scripts?|scripting|js)\b.*(?:enable|turned? o|switch|activ|disabled|blocked|allow|require|needed|benötigt|erforderlich|nécessaire|necesari|включ|启用|开启)"
     r"|(?:need|require|rel(?:y|ies)|works?|loaded by|switch|displayed|without|enable|turn on|allow|activ|benötigt|braucht|erfordert|nécessite|requiert|necesita|requiere|нужен|требует|включ|需要|启用|开启|не работает).*(?:javascript|\bscripts?\b|scripting|\bjs\b|скрипт))"
@@ -79,12 +82,24 @@ def visible_lines(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip()]
 
 
+def _asks(folded: str) -> bool:
+    """A line asks for scripts if most of it does: it all where it is short, else more than half of its characters."""
+    if not _NEEDS.search(folded) or _ABOUT.search(folded):
+        return False
+    return len(folded) < 150 or 2 * sum(len(x) for x in _SENTENCE.split(folded) if _NEEDS.search(x)) > len(folded)
+
+
+def _alone(bare: str) -> bool:
+    """Little is said but for arguments by number: fewer than three words."""
+    return len(_WORDS.findall(POSITIONAL.sub(" ", bare))) < 3
+
+
 def _evidence(line: str) -> str | None:
     """What the whole of a visible line says: 'whole', 'missing', 'filler' or nothing."""
     known = _KNOWN.get(line)
     if known is None:
         f, known = fold(line), ""
-        if WHOLE.fullmatch(f) or (len(f) < 150 and _NEEDS.search(f) and not _ABOUT.search(f)):
+        if WHOLE.fullmatch(f) or _asks(f):
             known = "missing" if _MISSING.search(f) else "whole"
         else:
             words = _WORDS.findall(f)
@@ -99,9 +114,38 @@ def _evidence(line: str) -> str | None:
 
 _KNOWN: dict[str, str] = {}
 _MISSING = re.compile(r"\b(?:null|undefined|nan|none|nil)\b|\[object")
+#: Words, placeholders not counted, that make a line a sentence.
+SENTENCE_WORDS = 8
 _OPENERS = ("{", "%", "@@", "__", "[", "*|")
 
 
+def _placeholder(bare: str, recurrent: set[int]) -> bool:
+    """Whether a placeholder stands in what is left of a text without its recurrent lines, unexplained.
+
+    A recurrent line goes if it is a sentence; an unfilled byline of all of a host's pages is left. Arguments by number are placeholders if their numbers begin
+    at 0 or they are nearly all there is: a single {4} in a sentence is the sentence's own.
+    """
+    spans, numbered, line, at = [], set(), 1, 0
+    for m in PLACEHOLDER.finditer(bare):
+        line, at = line + bare.count("\n", at, m.start()), m.start()
+        if line in recurrent:
+            begin, end = bare.rfind("\n", 0, m.start()) + 1, bare.find("\n", m.end())
+            if len(_WORDS.findall(PLACEHOLDER.sub(" ", bare[begin : end if end >= 0 else len(bare)]))) >= SENTENCE_WORDS:
+                continue
+        if POSITIONAL.fullmatch(m[0]):
+            numbered.add(m[0])
+        spans.append(m)
+    counts = "{0}" in numbered or bool(numbered) and _alone(bare)
+    for m in spans:
+        if m[0] in numbered and not counts:
+            continue
+        begin = max(bare.rfind("\n", 0, m.start()), bare.rfind(". ", 0, m.start())) + 1
+        end = min(x for x in (bare.find("\n", m.end()), bare.find(". ", m.end()), len(bare)) if x >= 0)
+        if not EXPLAINED.search(bare[begin : m.start()] + " " + bare[m.end() : end]):
+            return True
+    return False
+
+
 def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
     """The kinds of evidence in a text; `repeated` has the numbers from 1 of its lines that recur in the host.
 
@@ -112,13 +156,9 @@ def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
         return set()
     found: set[str] = set()
     bare = _FENCE.sub(" ", text) if "`" in text or "<" in text else text
-    if any(x in bare for x in _OPENERS):
-        for m in PLACEHOLDER.finditer(bare):
-            begin = max(bare.rfind("\n", 0, m.start()), bare.rfind(". ", 0, m.start())) + 1
-            end = min(x for x in (bare.find("\n", m.end()), bare.find(". ", m.end()), len(bare)) if x >= 0)
-            if not EXPLAINED.search(bare[begin : m.start()] + " " + bare[m.end() : end]):
-                found.add("placeholder")
-                break
+    drop = set(repeated or ())
+    if any(x in bare for x in _OPENERS) and _placeholder(bare, drop):
+        found.add("placeholder")
     hits, rest = 0, []
     for i, raw in enumerate(bare.split("\n"), 1):
         for x in visible_lines(raw):
@@ -132,7 +172,7 @@ def kinds(text: str | None, repeated: list[int] | None = None) -> set[str]:
             else:
                 rest.append((i, x))
     if hits:
-        drop, prose = set(repeated or ()), 0
+        prose = 0
         for i, x in rest:
             if i not in drop:
                 long = len(x) > 110 or len(x) > 80 and len(_SENTENCE.split(x)) > 1

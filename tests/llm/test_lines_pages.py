@@ -130,6 +130,27 @@ ALONE = [
 ]
 
 
+def test_arguments_by_number():
+    for x in ("Dear {0}, {1}, your digest is ready.", "{1}", "{3} {4}\n", "Hello {0}!"):
+        assert residue.kinds(x) == {"placeholder"}, x
+    for x in ("Entered by hand were [3] or {4}, and x_i was left empty.", "The set {2} of numbers and the rule {3} are prose."):
+        assert residue.kinds(x) == set(), x
+
+
+def test_recurrent_lines_are_subtracted():
+    legal = "All that stands between {open} and shut doors of this house belongs to its makers alone."
+    assert residue.kinds(f"{PROSE}\n{legal}") == {"placeholder"} and residue.kinds(f"{PROSE}\n{legal}", [2]) == set()
+    assert residue.kinds(f"{PROSE}\nby {{author}}", [2]) == {"placeholder"}  # an unfilled byline recurs as well
+    assert residue.kinds("404 Not Found", [1]) == {"error, filler or scripts"}
+
+
+def test_notices_for_scripts_of_any_length():
+    asks = "This viewer needs JavaScript to show the page. Please enable JavaScript in your browser and load it again. Without scripts the viewer displays nothing at all here."
+    assert len(asks) > 150 and residue.kinds(asks)
+    assert not residue.kinds(f"{PROSE} Its viewer needs scripts to work. {PROSE}")
+    assert residue.kinds("{% block " + "x" * 200 + " %}") == {"placeholder"}
+
+
 def test_residue_of_every_line():
     assert [x for x in ALONE if not residue.kinds(x)] == []
     assert [x for x in ALONE if not residue.kinds(f"{x}\n© 2010 Notes. All rights reserved.")] == []
