@@ -35,6 +35,22 @@ def test_copies_are_one_cluster(spark):
     assert {(r["rows"], r["clusters"], r["dates"]) for r in stats} == {(6, 1, 1)}
 
 
+def test_days_are_counted_exactly(spark):
+    rows = [(i, "f", f"text {chr(97 + i)}\nlegal", DAY + dt.timedelta(days=i // 2), "x") for i in range(10)] + [(99, None, "legal", None, "x")]
+    x = spark.createDataFrame(rows, KIND)
+    assert {(r["rows"], r["clusters"], r["dates"]) for r in site_lines.repeated(x, "feed", "summary", "updated").collect()} == {(10, 10, 5)}
+    for days, n in ((5, 10), (6, 0)):
+        got = site_lines.with_repeated(x, "feed", "summary", "updated", "numbers", min_dates=days)
+        assert got.where("size(numbers) > 0").count() == n
+
+
+def test_lines_beyond_the_broadcast(spark, monkeypatch):
+    texts = [f"text {chr(97 + i)}\nlegal\nmore" for i in range(8)] + [None]
+    want = numbers(spark, texts)
+    monkeypatch.setattr(site_lines, "BROADCAST", 0)
+    assert numbers(spark, texts) == want and want[0] == [2, 3]
+
+
 def test_removal(spark):
     x = spark.createDataFrame([("a\nb\nc", [2]), ("a", [1]), ("a\r\nb", []), (None, [])], "t string, n array<bigint>")
     assert [r[0] for r in x.select(site_lines.without_lines(F.col("t"), F.col("n"))).collect()] == ["a\nc", "", "a\r\nb", None]
