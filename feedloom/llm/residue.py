@@ -64,6 +64,8 @@ _NEEDS = re.compile(
     r"(?:\b(?:javascript|scripts?|scripting|js)\b.*(?:enable|turned? o|switch|activ|disabled|blocked|allow|require|needed|benötigt|erforderlich|nécessaire|necesari|включ|启用|开启)"
     r"|(?:need|require|rel(?:y|ies)|works?|loaded by|switch|displayed|without|enable|turn on|allow|activ|benötigt|braucht|erfordert|nécessite|requiert|necesita|requiere|нужен|требует|включ|需要|启用|开启|не работает).*(?:javascript|\bscripts?\b|scripting|\bjs\b|скрипт))"
 )
+#: One of these stands in whatever _NEEDS matches.
+_SCRIPTS = ("script", "js", "скрипт")
 _ABOUT = re.compile(r"\b(?:says|said|wrote|explains?|shows|called)\b|[\"“„«]")
 
 _BLOCK = re.compile(r"(?i)</?(?:p|div|h[1-6]|hr|br|li|ul|ol|tr|td|th|table|address|pre|body|html|section|article|title|center)\b[^<>]*>")
@@ -84,7 +86,7 @@ def visible_lines(text: str) -> list[str]:
 
 def _asks(folded: str) -> bool:
     """A line asks for scripts if most of it does: it all where it is short, else more than half of its characters."""
-    if not _NEEDS.search(folded) or _ABOUT.search(folded):
+    if not any(x in folded for x in _SCRIPTS) or not _NEEDS.search(folded) or _ABOUT.search(folded):
         return False
     return len(folded) < 150 or 2 * sum(len(x) for x in _SENTENCE.split(folded) if _NEEDS.search(x)) > len(folded)
 
