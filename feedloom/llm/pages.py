@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from feedloom.llm.furniture import SIDEBAR, fold, is_furniture
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")
+_TAG_OR_COMMENT = re.compile(r"<!--.*?-->|" + _TAG.pattern, re.S)
 _CLASS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 #: What no reader sees: scripts and styles, whole or to the end of the line, and elements that are not displayed.
-_UNSEEN = re.compile(r"(?is)<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(\w+)\b[^>]*display:\s*none[^>]*>[^<]*</\2\s*>")
+_HIDES = re.compile(r"(?i)<(?:(script|style|template)\b[^<>]*|([a-z]\w*)\b[^<>]*display:\s*none[^<>]*)>")
 _HAN = re.compile("[぀-ヿ㐀-鿿]")
 _VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 _BLOCKS = {"div", "section", "article", "main", "body", "html", "ul", "ol", "table", "tbody", "tr", "td", "nav", "aside", "header", "footer", "form", "dl", "blockquote"}
@@ -34,13 +36,44 @@ class Line:
     number: int
     text: str
     group: tuple[str, str]
-    path: tuple[int, ...]
+    place: int
+    above: int | None
     density: float
     furniture: bool
     named: bool
     prose: bool
 
 
+def _tags(raw: str) -> Iterator[re.Match]:
+    """Tags and comments of a line; behind the last end of a comment no comment is looked for."""
+    last = raw.rfind("-->") + 3
+    if last > 2:
+        yield from _TAG_OR_COMMENT.finditer(raw, 0, last)
+    yield from _TAG.finditer(raw, last if last > 2 else 0)
+
+
+def _named(tag: str, name: str) -> bool:
+    return tag in _FURNITURE_TAG or (tag not in ("html", "body") and _FURNITURE_NAME.search(name) is not None)
+
+
+def _seen(raw: str) -> tuple[str, str]:
+    """A line without what no reader sees, and the tag that ends a script or style that goes on behind it."""
+    out, at, low, gone = [], 0, raw.lower(), set()
+    for m in _HIDES.finditer(raw):
+        if m.start() < at or m[0].lower() in gone:
+            continue
+        end = f"</{(m[1] or m[2]).lower()}"
+        close = low.find(end, m.end())
+        if close < 0 and not m[1]:
+            gone.add(m[0].lower())  # an element without an end is displayed as far as is known
+            continue
+        out += [raw[at : m.start()], " "]
+        if close < 0:
+            return "".join(out), end
+        at = low.find(">", close) + 1 or len(raw)
+    return "".join(out) + raw[at:], ""
+
+
 def _prose(text: str) -> bool:
     """A line of sentences."""
     if not text.rstrip().endswith(_END):
@@ -58,6 +91,8 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
     out: list[Line] = []
     parents: dict[int, int] = {}
     names: dict[int, tuple[str, str]] = {0: ("", "")}
+    furnished = [False]  # of each container, whether it or one around it has the name of furniture
+    opened: Counter = Counter()  # open containers by tag
     stack, nodes, is_html, in_code = [(0, "")], 0, "<" in text and ">" in text, False
     hides = "<script" in text or "<style" in text or "display:" in text or "<template" in text
     ends = ""  # the tag that ends a script or style that goes on
@@ -68,16 +103,13 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
                 if at < 0:
                     continue
                 raw, ends = raw[at + len(ends) + 1 :], ""
-            opened = re.search(r"(?i)<(script|style|template)\b[^>]*>(?!.*</\1)", raw)
-            if opened:
-                ends = f"</{opened[1].lower()}"
-            raw = _UNSEEN.sub(" ", raw)
+            raw, ends = _seen(raw)
         own: tuple[str, str] | None = None
         link = 0
         before = stack[-1][0]
         if is_html and "<" in raw:
             at, parts, in_link = 0, [], False
-            for m in _TAG.finditer(raw):
+            for m in _tags(raw):
                 piece = raw[at : m.start()]
                 at = m.end()
                 parts.append(piece)
@@ -88,11 +120,11 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
                 if tag == "a":
                     in_link = not m[1]
                 elif m[1]:
-                    if tag in _BLOCKS:
-                        for i in range(len(stack) - 1, 0, -1):
-                            if stack[i][1] == tag:
-                                del stack[i:]
-                                break
+                    while opened[tag]:
+                        last = stack.pop()[1]
+                        opened[last] -= 1
+                        if last == tag:
+                            break
                 elif tag not in _VOID and not (m[3] or "").endswith("/"):
                     c = _CLASS.search(m[3] or "")
                     name = (c[1] or c[2] or c[3] or "") if c else ""
@@ -102,7 +134,9 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
                         nodes += 1
                         parents[nodes] = stack[-1][0]
                         names[nodes] = (tag, name)
+                        furnished.append(furnished[stack[-1][0]] or _named(tag, name))
                         stack.append((nodes, tag))
+                        opened[tag] += 1
             parts.append(raw[at:])
             text_of = "".join(parts)
         else:
@@ -114,14 +148,11 @@ def lines_of(text: str, repeated: set[int]) -> tuple[list[Line], dict[int, int]]
             continue
         # a line that opens and closes its own element belongs to the container around it
         place = stack[-1][0] if stack[-1][0] <= before or own is None else before
-        path = [place]
-        while path[-1]:
-            path.append(parents[path[-1]])
         group = own or names.get(place, ("", ""))
-        named = any(t in _FURNITURE_TAG or _FURNITURE_NAME.search(n) for t, n in [group, *(names[p] for p in path)] if t not in ("html", "body"))
+        named = furnished[place] or _named(*group)
         size = max(1, len(visible.strip()))
         furniture = not in_code and (number in repeated or is_furniture(visible))
-        out.append(Line(number, visible, group, tuple(path), min(1.0, link / size), furniture, named, _prose(visible)))
+        out.append(Line(number, visible, group, place, parents.get(place), min(1.0, link / size), furniture, named, _prose(visible)))
     return out, parents
 
 
@@ -140,7 +171,7 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
         return [], []
     if "<" not in text:
         return _plain(text, set(repeated or ()))
-    lines, _ = lines_of(text, set(repeated or ()))
+    lines, parents = lines_of(text, set(repeated or ()))
     if not lines:
         return [], []
     # containers: points of their lines, half of those of lines one level below
@@ -148,11 +179,11 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
     groups: dict[tuple, list[Line]] = defaultdict(list)
     for x in lines:
         p = _points(x)
-        points[x.path[0]] += p
-        if len(x.path) > 1:
-            points[x.path[1]] += p / 2
+        points[x.place] += p
+        if x.above is not None:
+            points[x.above] += p / 2
         if x.group[1]:
-            groups[x.path[0], x.group].append(x)
+            groups[x.place, x.group].append(x)
     best = max(points, key=lambda k: (points[k], -k))
     threshold = max(2.0, points[best] / 5)
     drop = {x.number for x in lines if x.furniture or x.named or x.density > 0.5 and not x.prose}
@@ -164,18 +195,21 @@ def split(text: str | None, repeated: list[int] | None = None) -> tuple[list[int
         if bad and bad * 3 >= len(own) and bad >= prose or short:
             drop.update(x.number for x in own)
     # a heading of a sidebar takes the teasers below it along
-    for i, x in enumerate(lines):
-        if x.number in drop and not SIDEBAR.fullmatch(fold(x.text)) or not SIDEBAR.fullmatch(fold(x.text)):
-            continue
-        drop.add(x.number)
-        for y in lines[i + 1 :]:
-            if not _teaser(y.text.strip()) or y.group != x.group or y.furniture:
-                break
-            drop.add(y.number)
-    # siblings of the best container without points of their own
+    heading = None
     for x in lines:
-        if best not in x.path and points[x.path[0]] < threshold:
+        if SIDEBAR.fullmatch(fold(x.text)):
+            heading = x
+            drop.add(x.number)
+        elif heading is not None and _teaser(x.text.strip()) and x.group == heading.group and not x.furniture:
             drop.add(x.number)
+        else:
+            heading = None
+    # siblings of the best container without points of their own
+    inside = {best}
+    for node in sorted(parents):  # a container is numbered after the one around it
+        if parents[node] in inside:
+            inside.add(node)
+    drop.update(x.number for x in lines if x.place not in inside and points[x.place] < threshold)
     return [x.number for x in lines if x.number not in drop], sorted(drop)
 
 
@@ -189,12 +223,12 @@ def _plain(text: str, repeated: set[int]) -> tuple[list[int], list[int]]:
         t = line.strip()
         if not t or not (t.isascii() or fold(t)):
             continue
-        if not in_code and (number in repeated or is_furniture(line)):
-            drop.append(number)
-            teasers = False
-        elif len(t) < 60 and SIDEBAR.fullmatch(fold(t)):
+        if not in_code and SIDEBAR.fullmatch(fold(t)):  # recurrent or not
             drop.append(number)
             teasers = True
+        elif not in_code and (number in repeated or is_furniture(line)):
+            drop.append(number)
+            teasers = False
         elif teasers and not in_code and not raw.startswith("```") and _teaser(t):
             drop.append(number)
         else:

@@ -116,6 +116,22 @@ def test_sidebars_and_furniture_of_any_length():
     assert not furniture.is_furniture("a" + " " * 100000 + "b")
 
 
+def test_recurrent_headings_of_sidebars():
+    plain = f"{PROSE}\nMost read\nNotes on a page\nTwo writers, one page\nBack to top"
+    assert pages.split(plain, [2]) == pages.split(plain) == ([1], [2, 3, 4, 5])
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    for page in ("<div>\n" * 100000 + "x", "<div>x\n" * 50000, "</div>\n" * 100000, "<li>x</li>\n" * 100000, "<!-- -->" + "<!--" * 50000 + ">", '<a "' * 50000 + ">", '<i style="display:none">' * 30000):
+        begun = time.process_time()
+        pages.split(page)
+        assert time.process_time() - begun < 5, page[:20]
+    assert pages.split("<div>\n<!-- <p>a</p> -->\n<p>b</p></div>")[0] == [3]
+    assert pages.split(f'<div><p>{PROSE}</p>\n<i style="display: none">x</i>\n<script>a\nb</script>\n<p>{PROSE}</p></div>') == ([1, 5], [])
+
+
 def test_prose_outside_the_best_container():
     body = "\n".join(f"<p>{PROSE} {PROSE}</p>" for _ in range(6))
     page = f"<div>\n{body}\n</div>\n<div>\n<p>Ashmoor Press of Holt answers for all that stands here and elsewhere.</p>\n</div>"
