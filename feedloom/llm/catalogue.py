@@ -13,7 +13,7 @@ from feedloom.session import spread, table
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     x = spread(table(spark, d, "entries").select("entry_id", "summary", "feed", "updated"))
     x = site_lines.with_repeated(x, "feed", "summary", "updated", "numbers")
-    return x.select("entry_id", F.explode("numbers").alias("line_no"))
+    return x.select("entry_id", F.explode_outer("numbers").alias("line_no")).where("line_no IS NOT NULL")  # explode would compute the numbers twice, to filter by their size first
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
