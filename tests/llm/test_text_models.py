@@ -205,3 +205,28 @@ def test_personal_information(spark):
     assert got[100]["pii"]["text"] is None and got[101]["pii"]["spans"] == []
     assert got[0]["pii"]["text"] == "Write to [NAME] ([EMAIL]) if a link is broken."
     assert pii.redact("ab", []) == "ab"
+
+
+def test_markup_in_time_that_grows_with_the_text():
+    import time
+
+    from feedloom.llm import markup
+
+    long = ["<pre>" * 30000, "<h1>a " * 30000, "\\begin{verbatim} " * 30000, "```a\n" * 30000, "<!-- --> " + "<!--" * 50000, "<a" + " " * 100000, "**a " * 30000, "__a " * 30000, "{{" * 50000 + "}}" * 50000, "\\(" * 50000]
+    long += ["[http://a b " * 30000, "<ref>" * 30000, "{|" * 30000, "== " + " " * 100000, "<blockquote>" * 30000, "<ul>" * 30000, "$a " * 30000, "`a " * 30000, "#" * 100000, "x" * 300000, "\\section{" * 30000]
+    for text in long:
+        begun = time.process_time()
+        markup.kinds(text)
+        markup.clean(text, {"html", "wiki", "latex", "markdown"})
+        assert time.process_time() - begun < 5, text[:20]
+
+
+def test_markup_of_any_length():
+    from feedloom.llm import markup
+
+    words = "word " * 100
+    assert markup.kinds(f"see *{words}end* here") == {"markdown"} and markup.clean(f"see *{words}end* here") == f"see {words}end here"
+    assert markup.kinds(f"so $x + {words}y$ holds") == {"latex"}
+    assert markup.clean("'''a''' {{x|{{y|{{z|{{q}}}}}}}} b", {"wiki"}) == "a  b"
+    assert markup.clean("<pre>a\n<b>b</b></pre><pre>c", {"html"}) == "```\na\nb\n```\nc"
+    assert markup.clean("````\n```\n````\n**b**", {"markdown"}) == "```\n```\n```\nb"
