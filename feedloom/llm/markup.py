@@ -309,7 +309,7 @@ def clean(text: str | None, found: set[str] | None = None) -> str | None:
     held: list[str] = []
 
     def hold(code: str) -> str:
-        held.append(re.sub(r"\A *(```|~~~)[^\n]*|(```|~~~) *\Z", "```", code))
+        held.append(re.sub(r"\A *(?:`{3,}|~{3,})[^\n]*|(?:`{3,}|~{3,}) *\Z", "```", code))
         return f"\x01{len(held) - 1}\x01"
 
     if "markdown" in found:
