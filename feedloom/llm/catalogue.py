@@ -117,12 +117,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    finder = pii_ops.fit(docs, "text", table(spark, d, "name_parts"))
+    finder = pii_ops.fit(spread(docs), "text", table(spark, d, "name_parts"))
     return pii_ops.with_pii(spread(docs), "text", finder, "pii")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _personal(spark, d).select("doc_id", F.explode("pii.spans").alias("s")).select("doc_id", "s.kind", "s.start_pos", "s.end_pos")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii_ops.found(spread(docs), "doc_id", "text", table(spark, d, "name_parts"))
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ trained, which decides over all candidates of all texts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -59,11 +60,13 @@ _NUMBERS = re.compile(r"\d(?:[ ().+/-]{0,3}\d){5}|[A-Z]\d\d[A-Z]\d{5}")
 
 _CUE = {
     "phone": re.compile(r"(?i)(?:phone|tel\.?|mobile|call|number is|left|reach .{0,20} at|telefonisch unter|appelez le|llame al|звоните|тел\.?|电话|手机|fax|\()[ :：]*$"),
-    "id": re.compile(r"(?i)(?:\bids?\b|insurance|security|identity|passport|tax|account holder|personalausweis|ausweisnummer|\bdni\b|\bni[ef]\b|sécurité sociale|паспорт|снилс|инн|身份证号?|护照号?)[^.\n]{0,24}$"),
+    "id": re.compile(r"(?i)(?:\bids?\b|insurance|security|identity|passport|tax|account holder|personalausweis|ausweisnummer|\bdni\b|\bni[ef]\b|sécurité sociale|паспорт|снилс|инн|身份证号?|护照号?)(?:[^.\n]|\bn[or]\.){0,24}$"),
     "address": re.compile(r"(?i)(?:lives? at|left at|moved to|posted it to|went to|instead of|genauer:|habite|vive en|адрес:|住在|寄)[ ,]*$|, $"),
     "email": re.compile(r"(?i)(?:mail|to|at|an|à|a|на|邮箱|corrections:|[<(/])[ :：<]*(?:mailto:)?$"),
     "name": re.compile(r"(?i)(?:\bmr|\bmrs|\bms|\bdr|\bprof|\bherr|\bfrau|\bsra?|\bdon|\bdoña|\bmme|\bm|г-н|г-жа|госпожа)\.? $|(?:photo:|contact:|edited by|translated by|signed by|said|sagt|dit|cuenta|рассказывает|bei|auf|au nom de|a nombre de|according to|i am|write to|parcel for|whether|next to|shows|neighbour|presse :|ansprechpartner:|contacto:|联系人：|记者|读者|作者|摄影)[ :]*$"),
 }
+#: Abbreviations whose point ends no sentence.
+_SHORT = re.compile(r"(?i)\b(?:n[or]|tel|no|ext|apt|fig)\. $")
 _NOT_BEFORE = {
     "phone": re.compile(r"(?i)(?:version|isbn|part no\.|order|serial|has|rfc|ratio was)[ :]*$"),
     "id": re.compile(r"(?i)(?:part no\.?|order|isbn|version|serial|invoice|no\. of|rfc|tel\.?|phone|mobile|call|ean|sku|model|book)[ :#]*$"),
@@ -97,6 +100,7 @@ _TITLE = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "sr", "sra",
 
 _CAP = rf"[{_UP}][^\W\d_]*(?:[-’'][^\W\d_]+)*"
 _SEQUENCE = re.compile(rf"(?<![\w@.-])(?:{_CAP}\.?|[{_UP}]\.)(?:[ \xa0](?:{_CAP}\.?|[{_UP}]\.))*")
+_GIVEN_AFTER, _NEXT, _NUMBERED = re.compile(rf", ({_CAP})((?: [{_UP}]\.)*)"), re.compile(rf" ({_CAP})"), re.compile(r"\.? \d")
 _TOKEN = re.compile(rf"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?")
 
 
@@ -164,11 +168,14 @@ class Finder:
     # -- candidates -----------------------------------------------------------------------------------------------
 
     def candidates(self, text: str) -> list[Span]:
+        """Spans without overlap among those of one shape, with the votes of the labellers; none is left out by a vote."""
         out: list[Span] = []
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []
+        ends: list[int] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y in taken)
+            i = bisect_left(starts, b)  # of spans without overlap the last that begins before b ends last
+            return i == 0 or ends[i - 1] <= a
 
         found: list[Span] = []
         patterns = [("email", p) for guards, p in EMAILS if any(g in text for g in guards)]
@@ -180,14 +187,14 @@ class Finder:
                 a, b = m.span()
                 if kind == "phone" and text[a] == "(" and text.count("(", a, b) != text.count(")", a, b):
                     a += 1
-                s = self._structured(kind, text, a, b)
-                if s.votes[4] >= 0:  # a part or order number is none, whatever its shape
-                    found.append(s)
-        # of overlapping ones the longer; of equal ones that which the words around name
-        for s in sorted(found, key=lambda s: (s.start - s.end, -s.votes[4], -s.votes[0])):
+                found.append(self._structured(kind, text, a, b))
+        # of overlapping ones those that no word speaks against, then the longer; of equal ones that which words name
+        for s in sorted(found, key=lambda s: (s.votes[4] < 0, s.start - s.end, -s.votes[4], -s.votes[0])):
             if free(s.start, s.end):
                 out.append(s)
-                taken.append((s.start, s.end))
+                i = bisect_left(starts, s.start)
+                starts.insert(i, s.start)
+                ends.insert(i, s.end)
         out += [s for s in self._names(text) if free(s.start, s.end)]
         return out
 
@@ -197,7 +204,7 @@ class Finder:
         left = -1 if _NOT_BEFORE[kind].search(before) else 1 if _CUE[kind].search(before) else 0
         right = 1 if kind in _AFTER and _AFTER[kind].match(after) else 0
         plain = kind == "id" and re.fullmatch(r"\d{9}|\d{4} \d{6}", span) is not None
-        alone = 1 if (not before or before.endswith(("\n", ". ", "。"))) else 0
+        alone = 1 if not before or before.endswith(("\n", ". ", "。")) and not _SHORT.search(before) else 0
         return Span(kind, a, b, (0 if plain else 1, 0, 0, 0, left, right, alone))
 
     def _names(self, text: str) -> list[Span]:
@@ -265,7 +272,7 @@ class Finder:
             m = re.search("[GO]?I{0,2}F", what) if "F" in what else None
             if m is None:
                 m = re.search("GI{0,2}O(?!O)", what) or re.search("G", what)
-                if m and m[0].endswith("O") and (j < n and roles[j] == "W" or not _AFTER["name"].match(text[chunk[m.end() - 1][2] :][:30])):
+                if m and m[0].endswith("O") and (j < n and roles[j] == "W" or not _AFTER["name"].match(text[chunk[m.end() - 1][2] : chunk[m.end() - 1][2] + 30])):
                     m = re.search("G", what)  # an unknown word is a family name only where the words after say so
             if m is None:
                 i = j
@@ -281,11 +288,11 @@ class Finder:
             end = i + m.end()
             # Family, Given
             if what[m.end() - 1] == "F" and "G" not in m[0] and (first == 0 or roles[first - 1] != "G"):
-                later = re.compile(rf", ({_CAP})((?: [{_UP}]\.)*)").match(text, b)
+                later = _GIVEN_AFTER.match(text, b)
                 if later:
-                    role, then = self._role(later[1]), re.compile(rf" ({_CAP})").match(text, later.end())
-                    known = role == "G" or role == "O" and len(later[1]) > 2 and (_AFTER["name"].match(text[later.end() :][:30]) or _CUE["name"].search(text[max(0, a - 30) : a]))
-                    if known and not (role == "O" and re.match(r"\.? \d", text[later.end() :])) and not (then and self._role(then[1]) == "F"):
+                    role, then = self._role(later[1]), _NEXT.match(text, later.end())
+                    known = role == "G" or role == "O" and len(later[1]) > 2 and (_AFTER["name"].match(text[later.end() : later.end() + 30]) or _CUE["name"].search(text[max(0, a - 30) : a]))
+                    if known and not (role == "O" and _NUMBERED.match(text, later.end())) and not (then and self._role(then[1]) == "F"):
                         b = later.end()
             out.append(self._name(text, a, b, m[0], word, roles, tokens, end))
             i = end
@@ -338,6 +345,10 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+#: What is believed of a labeller beforehand counts as so many candidates: little beside those of a table.
+BELIEF = 50.0
+
+
 class Model:
     """Reliabilities of the labellers by expectation-maximisation, and the span classifier trained on them."""
 
@@ -366,7 +377,7 @@ class Model:
             belief[4] = [[0.03, 0.57, 0.40], [0.20, 0.78, 0.02]]
             belief[5] = [[0.03, 0.57, 0.40], [0.50, 0.47, 0.03]]
             belief[6] = [[0.50, 0.05, 0.45], [0.9985, 0.001, 0.0005]]
-        weight = 0.2 * n.sum() + 5
+        weight = BELIEF
         theta = belief.copy()
         prior = 0.8
         for _ in range(rounds):
@@ -375,11 +386,16 @@ class Model:
             p /= p.sum(axis=1, keepdims=True)
             if kind == "name":  # anchored: a known name that is all of a line or sentence, as a signature is
                 p[(v[:, 1] > 0) & (v[:, 6] > 0) & (v[:, 5] >= 0) & (v[:, 4] >= 0)] = (0.97, 0.03)
+            else:  # anchored: a shape that the words before call what it is, and what they call something else
+                p[(v[:, 0] > 0) & (v[:, 4] > 0)] = (0.97, 0.03)
+                p[v[:, 4] < 0] = (0.03, 0.97)
             prior = float(np.clip((p[:, 0] @ n + 8) / (n.sum() + 10), 0.05, 0.99))
             for j in range(k):
                 for z in range(2):
                     count = np.array([(p[:, z] * n)[v[:, j] == x].sum() for x in (-1, 0, 1)]) + weight * belief[j, z]
                     theta[j, z] = count / count.sum()
+                if kind != "name":  # the parts of a name depend on each other, the votes for a shape do not
+                    theta[j] = self._no_worse_than_chance(theta[j], p.T @ n)
         self.reliability[kind] = theta
         # soft targets: the posterior; weights by count, damped so that rare patterns are learned too
         x, y, c = self.features(v), p[:, 0], np.sqrt(n)
@@ -395,6 +411,16 @@ class Model:
         self.weights[kind] = w
         self.cache: dict = {}
 
+    @staticmethod
+    def _no_worse_than_chance(t: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A vote for a case never tells against one, nor a vote against for one: what says so is pooled."""
+        t = t.copy()
+        for vote, wrong in ((2, t[0, 2] < t[1, 2]), (0, t[0, 0] > t[1, 0])):
+            if wrong:
+                t[:, vote] = (size @ t[:, vote]) / size.sum()
+        t[:, 1] = np.maximum(1 - t[:, 0] - t[:, 2], 1e-4)
+        return t / t.sum(axis=1, keepdims=True)
+
     def score(self, s: Span) -> float:
         if (known := self.cache.get((s.kind, s.votes))) is None:
             w = self.weights.get(s.kind)
@@ -404,3 +430,7 @@ class Model:
 
     def decide(self, s: Span) -> bool:
         return self.score(s) >= 0.5
+
+    def says(self, kind: str, votes: tuple[int, ...]) -> bool:
+        """What it decides over any candidate of these votes."""
+        return self.decide(Span(kind, 0, 0, votes))
