@@ -1,7 +1,7 @@
 """From the table of nodes to the article of each page, in native operators.
 
-Each leaf carries the ancestors that count it, so the sums over all subtrees are one explode and one aggregation with a
-map-side part, instead of a range join. All later steps are keyed by page.
+The table of nodes has, for each node, what is counted below it, so nothing here reads leaves. All steps are windows and
+aggregations over the page: rows are exchanged once, by page, and neither text of leaves nor paths of ancestors is.
 """
 
 from __future__ import annotations
@@ -12,46 +12,27 @@ from pyspark.sql.window import Window
 
 from feedloom.functions import text as X
 from feedloom.operators import blocks
-from feedloom.session import cut
+
+SUMS = ("words", "tokens", "anchor_words", "imgs", "anchor_imgs", "objects", "anchors", "out_words", "links")
 
 
 def features(nodes: DataFrame) -> DataFrame:
     """A1: (page_id, node_id, words, tokens, anchor_words, imgs, anchor_imgs, objects, anchors, out_words, links) of each
-    node with anything below it. Words in nested links count once for each; out_words are those outside links."""
-    w = F.when(F.col("tag") == "#text", X.words(F.col("text"))).otherwise(0)
-    t = F.when(F.col("tag") == "#text", X.tokens(F.col("text"))).otherwise(0)
-    x = nodes.where("path IS NOT NULL").select("page_id", "tag", "in_link", w.alias("w"), t.alias("t"), F.explode("path").alias("a"))
-    img, obj = F.col("tag") == "img", F.col("tag").isin("embed", "object", "video", "audio")
-    total = lambda c, name: F.sum(c).cast("bigint").alias(name)
-    one = lambda c: F.when(c, 1).otherwise(0)
-    return x.groupBy("page_id", F.col("a.node_id").alias("node_id")).agg(
-        total(F.col("w"), "words"),
-        total(F.col("t"), "tokens"),
-        total(F.col("w") * F.col("a.links"), "anchor_words"),
-        total(one(img), "imgs"),
-        total(one(img) * F.col("a.links"), "anchor_imgs"),
-        total(one(obj), "objects"),
-        total(one(F.col("tag") == "a"), "anchors"),
-        total(F.when(F.col("a.links") == 0, F.col("w")).otherwise(0), "out_words"),
-        total(one((F.col("tag") == "a") & (F.col("a.links") == 1)), "links"),
-    )
-
-
-def candidates(nodes: DataFrame, sums: DataFrame) -> DataFrame:
-    """A3: (page_id, node_id, parent_id, class, score): containers by the paragraphs in them.
-
-    A paragraph gives 1 and its lines, at most 3, to its parent and half of it to the parent's parent unless the parent is
-    the root. Tag and names add to the sum, and linked words take their part away.
-    """
-    para = nodes.where("role = 'block'").join(sums, ["page_id", "node_id"]).select("page_id", "parent_id", (1 + F.least(X.lines(F.col("words")), F.lit(3))).alias("s"))
-    para = para.where("parent_id >= 0")
-    up = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("grand_id"))
-    given = para.join(up, ["page_id", "parent_id"]).select("page_id", F.explode(F.array(F.struct(F.col("parent_id").alias("node_id"), F.col("s").alias("s")), F.struct(F.col("grand_id").alias("node_id"), F.call_function("div", F.col("s"), F.lit(2)).alias("s")))).alias("g"))
-    given = given.where("g.node_id >= 0").groupBy("page_id", F.col("g.node_id").alias("node_id")).agg(F.sum("g.s").alias("s"))
-    base = nodes.select("page_id", "node_id", "parent_id", "class", (X.tag_score(F.col("tag")) + X.name_weight(F.col("class")) + X.name_weight(F.col("id"))).alias("base"))
-    x = given.join(base, ["page_id", "node_id"]).join(sums, ["page_id", "node_id"], "left").na.fill(0, ["words", "anchor_words", "anchors", "anchor_imgs"])
-    score = F.call_function("div", (F.col("s") + F.col("base")) * (100 - blocks.density(x)), F.lit(100))
-    return x.select("page_id", "node_id", "parent_id", "class", score.cast("bigint").alias("score"))
+    node, over all below it. Words in nested links count once for each; out_words are those outside links."""
+    return nodes.select("page_id", "node_id", *SUMS)
+
+
+def _scored(nodes: DataFrame) -> DataFrame:
+    """A3: add `score`: of each container the points of the paragraphs in it, its tag and names, less the part of its
+    words that is linked; null where a node holds no paragraph."""
+    base = X.tag_score(F.col("tag")) + X.name_weight(F.col("class")) + X.name_weight(F.col("id"))
+    score = F.call_function("div", (F.col("points") + base) * (100 - blocks.density(nodes)), F.lit(100))
+    return nodes.withColumn("score", score.cast("bigint"))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """A3: (page_id, node_id, parent_id, class, score): containers by the paragraphs in them."""
+    return _scored(nodes).where("score IS NOT NULL").select("page_id", "node_id", "parent_id", "class", "score")
 
 
 def top(cands: DataFrame) -> DataFrame:
@@ -60,53 +41,45 @@ def top(cands: DataFrame) -> DataFrame:
     return cands.groupBy("page_id").agg(best.alias("t")).select("page_id", "t.*")
 
 
-def kept_siblings(nodes: DataFrame, sums: DataFrame, cands: DataFrame) -> DataFrame:
+def _kept(scored: DataFrame) -> DataFrame:
+    """Add `kept`: whether a node is the best candidate or one of its siblings that belong to the article."""
+    rank = F.when(F.col("score").isNotNull(), F.struct("score", -F.col("node_id")))
+    best = F.max_by(F.struct("node_id", "parent_id", "class", "score"), rank).over(Window.partitionBy("page_id"))
+    x = scored.withColumn("__t", best)
+    same = F.col("score").isNotNull() & (F.length("class") > 0) & (F.col("class") == F.col("__t.class"))
+    strong = F.col("score") > X.sibling_threshold(F.col("__t.score"))
+    long = F.col("score").isNull() & (F.col("tag") == "p") & (F.col("words") > 65) & (blocks.density(x) < 22)
+    hit = (F.col("node_id") == F.col("__t.node_id")) | ((F.col("parent_id") == F.col("__t.parent_id")) & (same | strong | long))
+    return x.withColumn("kept", F.coalesce(hit, F.lit(False))).drop("__t")
+
+
+def kept_siblings(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id): the best candidate and those of its siblings that belong to the article: candidates of
     the same class or with enough points, and long paragraphs with few links."""
-    t = top(cands).select("page_id", F.col("node_id").alias("top_id"), "parent_id", F.col("class").alias("top_class"), F.col("score").alias("top_score"))
-    around = nodes.select("page_id", "node_id", "parent_id", "tag").join(t, ["page_id", "parent_id"])
-    own = cands.select("page_id", "node_id", "score", F.col("class").alias("own_class"))
-    x = around.join(own, ["page_id", "node_id"], "left").join(sums, ["page_id", "node_id"], "left").na.fill(0, ["words", "anchor_words", "anchors", "anchor_imgs"])
-    same = (F.length("own_class") > 0) & (F.col("own_class") == F.col("top_class"))
-    strong = F.col("score") > X.sibling_threshold(F.col("top_score"))
-    long = F.col("score").isNull() & (F.col("tag") == "p") & (F.col("words") > 65) & (blocks.density(x) < 22)
-    return x.where((F.col("node_id") == F.col("top_id")) | same | strong | long).select("page_id", "node_id")
-
-
-def article_blocks(nodes: DataFrame, sums: DataFrame, kept: DataFrame) -> DataFrame:
-    """(page_id, block_idx, node_id, text, images, features): paragraphs and shells in the kept nodes, in order."""
-    inside = nodes.where("role <> ''").select("page_id", "node_id", "parent_id", "role", "tag")
-    # the ancestors of a block are those of any leaf in it above the block itself
-    leaf = nodes.where("path IS NOT NULL").select("page_id", F.col("node_id").alias("leaf"), "text", "src", "tag", "in_link", F.explode("path").alias("a"))
-    leaf = leaf.select("page_id", "leaf", "text", "src", "tag", "in_link", F.col("a.node_id").alias("up"))
-    b = inside.select("page_id", F.col("node_id").alias("up"), "role")
-    # each leaf knows its block and its kept ancestor by the same explode
-    block_of = leaf.join(b, ["page_id", "up"]).select("page_id", "leaf", F.col("up").alias("block_id"), "role", "text", "src", "tag", "in_link")
-    kept_of = leaf.join(kept.withColumnRenamed("node_id", "up"), ["page_id", "up"], "left_semi").select("page_id", "leaf").distinct()
-    own = block_of.join(kept_of, ["page_id", "leaf"])
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "#text", F.struct("leaf", "text")))), lambda s: s["text"]), "")
-    image = F.when((F.col("tag") == "img") & ~F.col("in_link"), F.struct("leaf", F.coalesce("src", F.lit("")).alias("src")))
-    images = F.transform(F.array_sort(F.collect_list(image)), lambda s: s["src"])
-    per = own.groupBy("page_id", F.col("block_id").alias("node_id"), "role").agg(texts.alias("text"), images.alias("images"))
-    x = per.join(sums, ["page_id", "node_id"], "left").na.fill(0)
-    x = x.withColumn("forms", F.when(F.col("role") == "shell", 1).otherwise(0).cast("bigint"))
-    idx = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
-    return x.withColumn("block_idx", idx.cast("bigint")).drop("role")
+    return _kept(_scored(nodes)).where("kept").select("page_id", "node_id")
+
+
+def article_blocks(nodes: DataFrame) -> DataFrame:
+    """(page_id, block_idx, node_id, text, images, forms, sums): paragraphs and shells in the kept nodes, in order.
+
+    Kept nodes are siblings, so a block stands in one of them if the last of those that begin before it ends behind it.
+    """
+    order = Window.partitionBy("page_id").orderBy("node_id")
+    x = _kept(_scored(nodes.where("tag <> '#text'")))
+    x = x.withColumn("__end", F.max(F.when(F.col("kept"), F.col("end_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.where("role <> '' AND node_id <= __end").withColumn("block_idx", (F.row_number().over(order) - 1).cast("bigint"))
+    forms = F.when(F.col("role") == "shell", 1).otherwise(0).cast("bigint")
+    return x.select("page_id", "block_idx", "node_id", F.col("block_text").alias("text"), F.col("block_images").alias("images"), forms.alias("forms"), *SUMS)
 
 
 def extract(nodes: DataFrame) -> DataFrame:
     """(page_id, word_count, link_count, images, text) of the article of each page, after the block classifier.
 
-    Every page has a row; a page without candidates has an empty article. The table of nodes is read by several steps, so
-    its lineage is cut: pages are parsed once, and so are the sums and the candidates.
+    Every page has a row; a page without candidates has an empty article. The plan has one exchange, by page.
     """
-    nodes = cut(nodes)
-    sums = cut(features(nodes))
-    kept = kept_siblings(nodes, sums, cut(candidates(nodes, sums)))
-    judged = blocks.form_prefix(blocks.classify(article_blocks(nodes, sums, kept))).where("final")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda s: s["text"]), "\n")
-    images = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "images"))), lambda s: s["images"]))
-    got = judged.groupBy("page_id").agg(F.sum("out_words").alias("word_count"), F.sum("links").alias("link_count"), images.alias("images"), text.alias("text"))
-    pages = nodes.where("parent_id < 0").select("page_id")
-    x = pages.join(got, "page_id", "left")
-    return x.select("page_id", F.coalesce("word_count", F.lit(0)).cast("bigint").alias("word_count"), F.coalesce("link_count", F.lit(0)).cast("bigint").alias("link_count"), F.coalesce("images", F.array().cast("array<string>")).alias("images"), F.coalesce("text", F.lit("")).alias("text"))
+    judged = blocks.form_prefix(blocks.classify(article_blocks(nodes))).where("final")
+    one = judged.select("page_id", "block_idx", "text", "images", "out_words", "links")
+    empty = nodes.where("parent_id < 0").select("page_id", F.lit(-1).cast("bigint").alias("block_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("images"), F.lit(0).cast("bigint").alias("out_words"), F.lit(0).cast("bigint").alias("links"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block_idx", "text")))), lambda s: s["text"]), "\n")
+    images = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("block_idx", "images")))), lambda s: s["images"]))
+    return one.unionAll(empty).groupBy("page_id").agg(F.sum("out_words").alias("word_count"), F.sum("links").alias("link_count"), images.alias("images"), text.alias("text"))

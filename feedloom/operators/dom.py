@@ -1,13 +1,15 @@
 """Pages as trees: a tolerant tree builder, the cleaner, and the table of nodes that all scoring starts from.
 
 Building and cleaning a page is sequential by nature, so it is one Python pass over each page; pages are independent.
-Cleaning rebuilds the tree from below: each function returns the children a node ends up with. What leaves Python is a
-flat table of leaves and blocks, and everything counted or compared later is native.
+No step recurses, and each visits a node a bounded number of times, so that neither the depth nor the width of a page
+matters. What leaves Python is a flat table of nodes with what is counted below each, and all that compares pages,
+candidates or blocks later is native.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -29,16 +31,19 @@ INLINE = {"a", "font", "small", "span", "strong", "em", "dt", "dd", "br", "cite"
 BLOCK = {"div", "p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html", "article", "section", "head", "ol", "ul", "dl", "tbody", "td", "tr", "table", "form", "textarea", "input"}
 DROPPED = {"script", "link", "iframe", "nav", "aside", "noscript", "style", "input", "textarea", "marquee"}
 PLAIN = DROPPED | {"meta", "title", "head", "body", "br", "article", "h1", "h2", "h3", "h4", "form", "ul", "ol", "table", "td", "th", "option", "img", "a"}
+# Parts of names whose elements are dropped, and the bounds below.
 UNLIKELY = re.compile("combx|comment|community|disqus|extra|foot|header|menu|remark|rss|shoutbox|sidebar|sponsor|ad-break|agegate|pagination|pager|popup|tweet|twitter")
+FILLS = {"#text", "video", "audio", "object", "embed", "img", "a", "form", "input", "textarea"}
 STOP = frozenset("。．？！，、；：“”﹃﹄‘’﹁﹂（）［］〔〕【】—…～《》〈〉﹏＿")
 LINE, SHARE, SMALL = 65, 20, 180
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "text", "up")
+    __slots__ = ("tag", "attrs", "kids", "text", "up", "open", "size", "filled")
 
     def __init__(self, tag: str, attrs: dict | None = None, text: str = ""):
         self.tag, self.attrs, self.kids, self.text, self.up = tag, attrs or {}, [], text, None
+        self.open, self.size, self.filled = False, 0, False
 
     def add(self, kid: Node) -> Node:
         kid.up = self
@@ -51,16 +56,22 @@ class Node:
             k.up = self
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for k in self.kids:
-            yield from k.walk()
+        """The node and all below it in document order."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += reversed(n.kids)
 
     def inner_text(self) -> str:
-        return self.text if self.tag == "#text" else "".join(k.inner_text() for k in self.kids if k.tag != "#comment")
+        return "".join(n.text for n in self.walk() if n.tag == "#text")
 
 
 class _Builder(HTMLParser):
-    """The useful part of tree construction: implied elements, auto-closing, reopened formatting."""
+    """The useful part of tree construction: implied elements, auto-closing, reopened formatting.
+
+    For each tag the places of its open elements in the stack are known, so that looking for one takes no search.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -68,33 +79,57 @@ class _Builder(HTMLParser):
         self.html = self.root.add(Node("html"))
         self.head = self.html.add(Node("head"))
         self.body: Node | None = None
-        self.stack: list[Node] = [self.html]
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.active: list[Node] = []
+        self.alike: dict[tuple, int] = Counter()
+        self.parts: dict[int, tuple[Node, list[str]]] = {}
+        self.unclosed: str | None = None
+        self._push(self.html)
+
+    def _push(self, n: Node) -> None:
+        self.places[n.tag].append(len(self.stack))
+        self.stack.append(n)
+        n.open = True
+
+    def _cut(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(self.stack) > depth:
+            n = self.stack.pop()
+            self.places[n.tag].pop()
+            n.open = False
 
     def _in_body(self) -> None:
         if self.body is None:
             self.body = self.html.add(Node("body"))
-            self.stack = [self.html, self.body]
+            self._cut(1)
+            self._push(self.body)
+
+    def _last(self, tags: set[str]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
 
     def _scope(self, tags: set[str], stop: set[str]) -> int:
         """Depth of the nearest open element of these tags, 0 if one of `stop` is nearer."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                return i
-            if self.stack[i].tag in stop:
-                break
-        return 0
+        i = self._last(tags)
+        return i if i and i >= self._last(stop) else 0
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         if i := self._scope(tags, stop):
-            del self.stack[i:]
+            self._cut(i)
+
+    def _forget(self, at: int) -> None:
+        n = self.active.pop(at)
+        self.alike[n.tag, tuple(n.attrs.items())] -= 1
 
     def _reopen(self) -> None:
-        for k, old in enumerate(self.active):
-            if old not in self.stack:
-                new = self.stack[-1].add(Node(old.tag, dict(old.attrs)))
-                self.stack.append(new)
-                self.active[k] = new
+        """Formatting that a block has closed goes on: what stands behind the last that is still open."""
+        k = len(self.active)
+        while k and not self.active[k - 1].open:
+            k -= 1
+        for k in range(k, len(self.active)):
+            old = self.active[k]
+            self.active[k] = self.stack[-1].add(Node(old.tag, dict(old.attrs)))
+            self._push(self.active[k])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         got: dict = {}
@@ -109,41 +144,46 @@ class _Builder(HTMLParser):
         if tag in HEAD and self.body is None:
             node = self.head.add(Node(tag, got))
             if tag not in VOID:
-                self.stack.append(node)
+                self._push(node)
             return
         self._in_body()
+        if tag == "form" and self.places.get("form"):
+            return  # forms do not nest
         if tag in CLOSES_P:
             self._close({"p"}, SCOPE)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag == "li":
             self._close({"li"}, {"ul", "ol"} | SCOPE)
         elif tag in ("dd", "dt"):
             self._close({"dd", "dt"}, {"dl"} | SCOPE)
         elif tag in ("option", "optgroup") and self.stack[-1].tag == "option":
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         elif tag in ("tr", "td", "th", "tbody", "thead", "tfoot"):
             self._close({"td", "th"} if tag in ("td", "th") else {"tr"} if tag == "tr" else {"tbody", "thead", "tfoot"}, {"table"})
             if self.stack[-1].tag == "table" and tag in ("tr", "td", "th"):
-                self.stack.append(self.stack[-1].add(Node("tbody")))
+                self._push(self.stack[-1].add(Node("tbody")))
             if tag in ("td", "th") and self.stack[-1].tag in ("tbody", "thead", "tfoot"):
-                self.stack.append(self.stack[-1].add(Node("tr")))
+                self._push(self.stack[-1].add(Node("tr")))
         elif tag == "a":
             old = next((n for n in self.active if n.tag == "a"), None)
             if old is not None:
                 self.handle_endtag("a")
-                self.active = [n for n in self.active if n is not old]
+                left = next((i for i, n in enumerate(self.active) if n is old), None)
+                if left is not None:
+                    self._forget(left)
         if tag not in CLOSES_P and tag not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
             self._reopen()
         node = self.stack[-1].add(Node(tag, got))
         if tag in VOID:
             return
-        self.stack.append(node)
+        self._push(node)
         if tag in FORMATTING:
-            same = [n for n in self.active if n.tag == tag and n.attrs == got]
-            if len(same) >= 3:  # the standard keeps three alike
-                self.active.remove(same[0])
+            sign = tag, tuple(got.items())
+            if self.alike[sign] >= 3:  # the standard keeps three alike
+                self._forget(next(i for i, n in enumerate(self.active) if n.tag == tag and n.attrs == got))
             self.active.append(node)
+            self.alike[sign] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -151,7 +191,7 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body", "head"):
             if tag == "head" and self.body is None:
-                self.stack = [self.html]
+                self._cut(1)
             return
         if tag == "br":
             return self.handle_starttag("br", [])
@@ -160,13 +200,13 @@ class _Builder(HTMLParser):
         stop = {"html"} if tag in ("table", "td", "th", "tr") else {"table"} if tag in ("tbody", "thead", "tfoot") else SCOPE - {tag}
         i = self._scope(HEADINGS if tag in HEADINGS else {tag}, stop)
         if tag in FORMATTING:
-            node = next((n for n in reversed(self.active) if n.tag == tag), None)
-            if node is not None:
-                self.active.remove(node)
-            if i and any(n.tag in CLOSES_P for n in self.stack[i + 1 :]):
+            at = next((k for k in range(len(self.active) - 1, -1, -1) if self.active[k].tag == tag), None)
+            if at is not None:
+                self._forget(at)
+            if i and self._last(CLOSES_P) > i:
                 return  # a block is open inside: it keeps its place, the formatting ends with it
         if i:
-            del self.stack[i:]
+            self._cut(i)
 
     def handle_data(self, data: str) -> None:
         where = self.stack[-1]
@@ -180,21 +220,38 @@ class _Builder(HTMLParser):
             self._reopen()
             where = self.stack[-1]
         if where.kids and where.kids[-1].tag == "#text":
-            where.kids[-1].text += data
+            last = where.kids[-1]
+            self.parts.setdefault(id(last), (last, [last.text]))[1].append(data)
         else:
             where.add(Node("#text", text=data))
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.unclosed is self.rawdata:  # no end of a comment was found from a place before
+            return -1
+        k = super().parse_comment(i, report)
+        if k < 0:
+            self.unclosed = self.rawdata
+        return k
+
+    def check_for_whole_start_tag(self, i: int) -> int:
+        return super().check_for_whole_start_tag(i) if self.rawdata.find(">", i) >= 0 else -1
+
     def handle_comment(self, data: str) -> None:
         self.stack[-1].add(Node("#comment", text=data))
 
+    def finish(self) -> Node:
+        self.close()
+        self._in_body()
+        for n, parts in self.parts.values():
+            n.text = "".join(parts)
+        return self.root
+
 
 def parse(text: str) -> Node:
     """A document; it never fails. Not built: foster parenting and the full adoption agency."""
     b = _Builder()
     b.feed(text)
-    b.close()
-    b._in_body()
-    return b.root
+    return b.finish()
 
 
 _TOKEN = re.compile("[0-9A-Za-z_]+|[^0-9A-Za-z_]")
@@ -210,8 +267,9 @@ def count_words(text: str) -> int:
 def tally(n: Node, forms: bool = True, tables: bool = True) -> dict[str, int]:
     """Words, linked words, images and linked images below a node; forms and tables are passed over if told to."""
     out = {"words": 0, "anchor_words": 0, "imgs": 0, "anchor_imgs": 0, "anchors": 0}
-
-    def visit(x: Node, links: int) -> None:
+    todo = [(n, 0)]
+    while todo:
+        x, links = todo.pop()
         if x.tag == "#text":
             w = count_words(x.text)
             out["words"] += w
@@ -221,13 +279,9 @@ def tally(n: Node, forms: bool = True, tables: bool = True) -> dict[str, int]:
             out["anchor_imgs"] += links
         elif x.tag == "a":
             out["anchors"] += 1
-            for k in x.kids:
-                visit(k, links + 1)
+            todo += [(k, links + 1) for k in x.kids]
         elif not (x.tag in OBJECTS or x.tag in ("input", "textarea") or (x.tag == "form" and forms) or (x.tag == "table" and not tables)):
-            for k in x.kids:
-                visit(k, links)
-
-    visit(n, 0)
+            todo += [(k, links) for k in x.kids]
     return out
 
 
@@ -240,9 +294,22 @@ def density(t: dict[str, int]) -> int:
 # -- kinds of nodes ----------------------------------------------------------------------------------------------
 
 
+def measure(root: Node) -> list[Node]:
+    """From below: the bytes of text in each node, and whether a text (even of blanks), a medium, a link or a form stands
+    in it. Gives the nodes in document order."""
+    order = list(root.walk())
+    for n in order:
+        n.size, n.filled = (len(n.text.encode()) if n.tag == "#text" else 0), n.tag in FILLS
+    for n in reversed(order):
+        if n is not root:
+            n.up.size += n.size
+            n.up.filled = n.up.filled or n.filled
+    return order
+
+
 def _narrow_list(li: Node) -> bool:
-    """Items of a list with less than 60 bytes of text stand in one line, as in menus."""
-    return li.up is not None and sum(len(k.inner_text().encode()) for k in li.up.kids) < 60
+    """Items of a list with less than 60 bytes of text stand in one line, as in menus; for nodes that are measured."""
+    return li.up is not None and li.up.size < 60
 
 
 def is_inline(n: Node) -> bool:
@@ -257,11 +324,6 @@ def has_inline(n: Node) -> bool:
     return any(map(is_inline, n.kids))
 
 
-def is_filled(n: Node) -> bool:
-    """A text (even of blanks), a medium, a link or a form stands in it."""
-    return n.tag in ("#text", "video", "audio", "object", "embed", "img", "a", "form", "input", "textarea") or any(map(is_filled, n.kids))
-
-
 # -- cleaning ----------------------------------------------------------------------------------------------------
 
 
@@ -285,7 +347,7 @@ class Page:
         self.cells: list[tuple[Node, dict]] = []
         self.article: Node | None = None
         root = parse(text)
-        self._strip(root, False)
+        self._strip(root)
         for n in root.kids:
             n.kids = [k for k in n.kids if k.tag != "head"]
         self._narrow()
@@ -295,60 +357,68 @@ class Page:
         for form in self.found["form"]:
             if tally(form, forms=False)["words"] * 100 // (1 + self.counts["text_words"]) > 33:
                 form.tag = "div"
+        if self.article.up is not None:
+            self.article.up = None  # what stands around it plays no part from here on
+        measure(self.article)
         self._tidy(self.article)
-        self._prune(self.article)
-        for n in self.article.walk():
+        for n in measure(self.article):
+            n.set([k for k in n.kids if k.filled])
+        self.nodes = measure(self.article)
+        for n in self.nodes:
             n.attrs = {k: v for k, v in n.attrs.items() if k in ("id", "class", "href", "src")}
 
-    def _strip(self, n: Node, linked: bool) -> None:
+    def _strip(self, root: Node) -> None:
         """Counts, renames and drops, in document order."""
-        kept = []
-        for k in n.kids:
-            if k.tag == "#comment":
-                continue
-            kept.append(k)
-            if k.tag == "#text":
+        frames: list[tuple[Node, bool, Iterator[Node], list[Node]]] = [(root, False, iter(root.kids), [])]
+        while frames:
+            n, linked, kids, kept = frames[-1]
+            k = next(kids, None)
+            if k is None:
+                n.set(kept)
+                frames.pop()
+            elif k.tag == "#text":
+                kept.append(k)
                 k.text = _tail(k.text)
                 w = count_words(k.text)
                 self.counts["text_words"] += w
                 self.counts["anchor_words"] += w * linked
-                continue
-            if UNLIKELY.search(k.attrs.get("class", "") + k.attrs.get("id", "")) or k.tag in DROPPED:
-                kept.pop()
-                continue
-            if k.tag == "li" or k.tag not in PLAIN:
-                style = k.attrs.get("style", "")
-                self.counts["lis"] += k.tag == "li"
-                if "display" in style and "none" in style:
-                    k.tag = "input"
-            if k.tag in self.found:
-                self.found[k.tag].append(k)
-            if k.tag == "body":
-                self.article = k
-            elif k.tag == "br":
-                k.tag = "p"
-            elif k.tag == "option":
-                k.tag = "a"
-            elif k.tag in ("td", "th"):
-                t = tally(k, tables=False)
-                self.cells.append((k, t))
-                self.counts["table_words"] += t["words"]
-            elif k.tag == "img":
-                self.counts["imgs"] += 1
-                self.counts["link_imgs"] += linked
-                w, h = _integer(k.attrs.get("width")), _integer(k.attrs.get("height"))
-                h = _integer(k.attrs.get("heigh")) if h is None else h
-                if w is not None and h is not None and w * h < SMALL * SMALL and n.tag == "a":
-                    k.attrs.pop("src", None)
-            elif k.tag == "a":
-                self.counts["links"] += 1
-                if "href" in k.attrs and self.url:
-                    try:
-                        k.attrs["href"] = urljoin(self.url, k.attrs["href"])
-                    except ValueError:
-                        pass
-            self._strip(k, linked or k.tag == "a")
-        n.set(kept)
+            elif k.tag != "#comment" and not (UNLIKELY.search(k.attrs.get("class", "") + k.attrs.get("id", "")) or k.tag in DROPPED):
+                kept.append(k)
+                self._count(k, n, linked)
+                frames.append((k, linked or k.tag == "a", iter(k.kids), []))
+
+    def _count(self, k: Node, n: Node, linked: bool) -> None:
+        if k.tag == "li" or k.tag not in PLAIN:
+            style = k.attrs.get("style", "")
+            self.counts["lis"] += k.tag == "li"
+            if "display" in style and "none" in style:
+                k.tag = "input"
+        if k.tag in self.found:
+            self.found[k.tag].append(k)
+        if k.tag == "body":
+            self.article = k
+        elif k.tag == "br":
+            k.tag = "p"
+        elif k.tag == "option":
+            k.tag = "a"
+        elif k.tag in ("td", "th"):
+            t = tally(k, tables=False)
+            self.cells.append((k, t))
+            self.counts["table_words"] += t["words"]
+        elif k.tag == "img":
+            self.counts["imgs"] += 1
+            self.counts["link_imgs"] += linked
+            w, h = _integer(k.attrs.get("width")), _integer(k.attrs.get("height"))
+            h = _integer(k.attrs.get("heigh")) if h is None else h
+            if w is not None and h is not None and w * h < SMALL * SMALL and n.tag == "a":
+                k.attrs.pop("src", None)
+        elif k.tag == "a":
+            self.counts["links"] += 1
+            if "href" in k.attrs and self.url:
+                try:
+                    k.attrs["href"] = urljoin(self.url, k.attrs["href"])
+                except ValueError:
+                    pass
 
     def _narrow(self) -> None:
         """Of a page with one main heading, the element around it that holds enough text, if it holds enough of the page."""
@@ -356,96 +426,128 @@ class Page:
         if len(heads) != 1:
             return
         n = heads[0].up
-        while n is not None and len(n.inner_text().encode()) <= 3 * LINE:
+        measure(self._top(n))
+        while n is not None and n.size <= 3 * LINE:
             n = n.up
         if n is not None:
             w = tally(n)["words"]
             if w >= LINE and w * 100 // (self.counts["text_words"] + 1) >= SHARE:
                 self.article = n
 
+    @staticmethod
+    def _top(n: Node) -> Node:
+        while n.up is not None:
+            n = n.up
+        return n
+
     def _cells(self) -> None:
         """Of a page laid out in a table, the cell with the best score; the first of equal ones."""
         if self.cells and self.counts["table_words"] * 100 // (self.counts["text_words"] + 1) >= 33:
             worth = lambda t: int(t["words"] * (100 - density(t)) / 100) + (t["imgs"] - t["anchor_imgs"]) * 8
             self.article = max(self.cells, key=lambda c: worth(c[1]))[0]
 
-    def _tidy(self, n: Node) -> None:
+    def _tidy(self, root: Node) -> None:
         """Blocks hold either blocks or inline content: runs of inline content among blocks move into paragraphs."""
-        blocks, inline = any(map(is_block, n.kids)), has_inline(n)
-        if blocks and inline:
-            kids: list[Node] = []
-            for k, flows in [(k, is_inline(k)) for k in n.kids]:
-                if not flows:
-                    kids.append(k)
-                    continue
-                if not kids or kids[-1].tag != "p":
-                    kids.append(Node("p"))
-                    kids[-1].up = n
-                kids[-1].add(k)
-            n.set(kids)
-            inline = False
-        if inline and not blocks:
-            n.set(self._flat(n))
-            self._trim(n, str.lstrip)
-            self._trim(n, str.rstrip)
-        elif blocks:
-            for k in n.kids:
-                self._tidy(k)
-
-    def _flat(self, n: Node) -> list[Node]:
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            blocks, inline = any(map(is_block, n.kids)), has_inline(n)
+            if blocks and inline:
+                kids: list[Node] = []
+                for k, flows in [(k, is_inline(k)) for k in n.kids]:
+                    if not flows:
+                        kids.append(k)
+                        continue
+                    if not kids or kids[-1].tag != "p":
+                        kids.append(Node("p"))
+                        kids[-1].up = n
+                    kids[-1].add(k)
+                    kids[-1].size += k.size
+                n.set(kids)
+                inline = False
+            if inline and not blocks:
+                self._flatten(n)
+                self._trim(n, str.lstrip)
+                self._trim(n, str.rstrip)
+            elif blocks:
+                todo += n.kids
+
+    @staticmethod
+    def _flatten(root: Node) -> None:
         """Inline content without its formatting: texts, media, links and blocks."""
-        out = []
-        for k in n.kids:
-            if k.tag == "#text" or k.tag in ("img", "object", "video", "audio"):
+        frames: list[tuple[Node, Iterator[Node], list[Node], bool]] = [(root, iter(root.kids), [], True)]
+        while frames:
+            n, kids, out, own = frames[-1]
+            k = next(kids, None)
+            if k is None:
+                frames.pop()
+                if own:
+                    n.set(out)
+                    n.filled = n.tag in FILLS or any(x.filled for x in out)
+            elif k.tag in ("#text", "img", "object", "video", "audio"):
                 out.append(k)
             elif is_block(k) or k.tag == "a":
-                k.set(self._flat(k))
                 out.append(k)
+                frames.append((k, iter(k.kids), [], True))
             else:
-                out += self._flat(k)
-        return out
-
-    def _trim(self, n: Node, how) -> None:
-        """Trim the first text of a run; both sides start from the first, for a text is never empty."""
-        while n.kids:
-            k = n.kids[0]
-            if k.tag == "#text":
-                k.text = how(k.text)
-            else:
-                self._trim(k, how)
-            if is_filled(k):
-                break
-            n.kids.pop(0)
-
-    def _prune(self, n: Node) -> None:
-        for k in n.kids:
-            self._prune(k)
-        n.set([k for k in n.kids if is_filled(k)])
+                frames.append((k, iter(k.kids), out, False))
+
+    @staticmethod
+    def _trim(n: Node, how) -> None:
+        """Trim the first text of a run, what is empty before it goes; both sides start from the first, for a text is
+        never empty."""
+        while True:
+            at = next((i for i, k in enumerate(n.kids) if k.filled), len(n.kids))
+            del n.kids[:at]
+            if not n.kids:
+                return
+            n = n.kids[0]
+            if n.tag == "#text":
+                n.text = how(n.text)
+                return
 
 
-def paragraphs(n: Node, shells: bool, top: bool = True) -> Iterator[Node]:
+def paragraphs(root: Node, shells: bool) -> Iterator[Node]:
     """The first nodes with inline content, in document order; shells of hidden nodes too if asked for."""
-    if n.tag in ("form", "textarea") or (n.tag == "input" and top):
-        return
-    if n.tag == "input":
-        if shells:
+    todo = [root] if root.tag != "input" else []
+    while todo:
+        n = todo.pop()
+        if n.tag in ("form", "textarea"):
+            continue
+        if n.tag == "input":
+            if shells:
+                yield n
+        elif has_inline(n):
             yield n
-    elif has_inline(n):
-        yield n
-    else:
-        for k in n.kids:
-            yield from paragraphs(k, shells, False)
+        else:
+            todo += reversed(n.kids)
+
 
+def _escaped(text: str) -> str:
+    return escape(text, quote=True).replace("&#x27;", "&#39;").replace("&quot;", "&#34;")
 
-def render(n: Node) -> str:
+
+def render(root: Node) -> str:
     """Texts, links, images and media of a paragraph; other elements leave their content."""
-    if n.tag == "#text":
-        return escape(n.text, quote=True).replace("&#x27;", "&#39;").replace("&quot;", "&#34;")
-    inner = "".join(map(render, n.kids))
-    if n.tag == "a" or n.tag in OBJECTS:
-        attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in n.attrs.items())
-        return f"<{n.tag}{attrs}/>" if n.tag in ("img", "embed") else f"<{n.tag}{attrs}>{inner}</{n.tag}>"
-    return inner
+    out: list[str] = []
+    todo: list[Node | str] = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag == "#text":
+            out.append(_escaped(n.text))
+        elif n.tag == "a" or n.tag in OBJECTS:
+            attrs = "".join(f' {k}="{escape(v, quote=True)}"' for k, v in n.attrs.items())
+            if n.tag in ("img", "embed"):
+                out.append(f"<{n.tag}{attrs}/>")
+            else:
+                out.append(f"<{n.tag}{attrs}>")
+                todo.append(f"</{n.tag}>")
+                todo += reversed(n.kids)
+        else:
+            todo += reversed(n.kids)
+    return "".join(out)
 
 
 def fragment(text: str | None, url: str | None) -> dict:
@@ -455,8 +557,9 @@ def fragment(text: str | None, url: str | None) -> dict:
     blocks = list(paragraphs(Page(text, url or "").article, True))
     words, links, images = 0, 0, []
 
-    def visit(n: Node) -> None:
-        nonlocal words, links
+    todo = blocks[::-1]
+    while todo:
+        n = todo.pop()
         if n.tag == "#text":
             words += count_words(n.text)
         elif n.tag == "img":
@@ -464,48 +567,89 @@ def fragment(text: str | None, url: str | None) -> dict:
         elif n.tag == "a":
             links += 1
         else:
-            for k in n.kids:
-                visit(k)
-
-    for b in blocks:
-        visit(b)
+            todo += reversed(n.kids)
     html = "".join(f"<input>{render(b)}</input>" if b.tag == "input" else f"<p>{render(b)}</p>" for b in blocks)
     return {"html": f"<div>{html}</div>", "words": words, "links": links, "images": images}
 
 
 # -- tables ------------------------------------------------------------------------------------------------------
 
-_PATH = pa.list_(pa.struct([("node_id", pa.int32()), ("links", pa.int32())]))
+_SUMS = ("words", "tokens", "anchor_words", "imgs", "anchor_imgs", "objects", "anchors", "out_words", "links")
 _NODE = pa.schema(
-    [("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("class", pa.string()), ("id", pa.string()), ("src", pa.string()), ("role", pa.string()), ("in_link", pa.bool_()), ("path", _PATH)]
+    [("page_id", pa.int64()), *[(c, pa.int32()) for c in ("node_id", "parent_id", "end_id")], *[(c, pa.string()) for c in ("tag", "text", "class", "id", "src", "role")], ("points", pa.int64()), ("block_text", pa.string()), ("block_images", pa.list_(pa.string()))]
+    + [(c, pa.int64()) for c in _SUMS]
 )
-NODES = "page_id bigint, node_id int, parent_id int, tag string, text string, class string, id string, src string, role string, in_link boolean, path array<struct<node_id:int,links:int>>"
+NODES = (
+    "page_id bigint, node_id int, parent_id int, end_id int, tag string, text string, class string, id string, src string, role string, points bigint, block_text string, block_images array<string>, "
+    + ", ".join(f"{c} bigint" for c in _SUMS)
+)
+
 
+def _rows(page_id: int, page: Page) -> list[list]:
+    """Nodes in document order, numbered so: (node, parent, last node below, ...) with the sums over all below each.
 
-def _rows(page_id: int, page: Page) -> Iterator[tuple]:
-    """Nodes in document order. `role` is block, shell or ''; `path` has, for leaves and links, the ancestors that count
-    them with the links on the way, up to the nearest form or medium."""
+    `role` is block, shell or ''. A form or medium counts for what is around it, what stands in it does not. Words in
+    nested links count once for each as linked words; out_words are those outside links. `points` are what the
+    paragraphs give: 1 and their lines, at most 3, to the node around each, and half of it to the next unless the first is
+    the root; null where there is none. Blocks have their text and the images outside links.
+    """
     marks = {id(b): "shell" if b.tag == "input" else "block" for b in paragraphs(page.article, True)}
-    number = -1
-
-    def visit(n: Node, parent: int, above: list[int], links: list[bool], in_link: bool) -> Iterator[tuple]:
-        nonlocal number
-        number += 1
-        me, opaque = number, n.tag in OBJECTS or n.tag in ("form", "input", "textarea")
-        above, links = [*above, me], [*links, n.tag == "a"]
-        path = None
-        if n.tag in ("#text", "img", "a") or opaque:
-            path, k = [], 0
-            for a, is_link in zip(reversed(above), reversed(links), strict=True):
-                k += is_link
-                path.append({"node_id": a, "links": k})
-        yield (page_id, me, parent, n.tag, n.text if n.tag == "#text" else None, n.attrs.get("class", ""), n.attrs.get("id", ""), n.attrs.get("src"), marks.get(id(n), ""), in_link, path)
-        if opaque and n.tag != "img":
-            above, links = [], []
-        for k in n.kids:
-            yield from visit(k, me, above, links, in_link or n.tag == "a")
-
-    yield from visit(page.article, -1, [], [], False)
+    order, number, rows = page.nodes, {}, []
+    block = [-1] * len(order)
+    linked = [False] * len(order)
+    texts: dict[int, list[str]] = {}
+    images: dict[int, list[str]] = {}
+    for i, n in enumerate(order):
+        number[id(n)] = i
+        up = number[id(n.up)] if i else -1
+        role = marks.get(id(n), "")
+        if role:
+            block[i] = i
+            texts[i], images[i] = [], []
+        elif up >= 0 and not _opaque(order[up]):
+            block[i] = block[up]
+        linked[i] = up >= 0 and (linked[up] or order[up].tag == "a")
+        if block[i] >= 0 and n.tag == "#text":
+            texts[block[i]].append(n.text)
+        elif block[i] >= 0 and n.tag == "img" and not linked[i]:
+            images[block[i]].append(n.attrs.get("src", ""))
+        text = n.text if n.tag == "#text" else None
+        rows.append([page_id, i, up, i, n.tag, text, n.attrs.get("class", ""), n.attrs.get("id", ""), n.attrs.get("src"), role, None, None, None])
+    total = [[0] * len(_SUMS) for _ in order]
+    for i in range(len(order) - 1, -1, -1):
+        n, t, row = order[i], total[i], rows[i]
+        if n.tag == "#text":
+            t[1] = len(found := _TOKEN.findall(n.text))
+            t[0] = t[7] = sum(x not in STOP for x in found)
+        elif n.tag == "img":
+            t[3] = 1
+        elif n.tag in OBJECTS:
+            t[5] = 1
+        elif n.tag == "a":
+            t[2] += t[0]
+            t[4] += t[3]
+            t[6] += 1
+            t[7], t[8] = 0, 1
+        up = row[2]
+        if i and not _opaque(order[up]):
+            for k, v in enumerate(t):
+                total[up][k] += v
+        if i:
+            rows[up][3] = max(rows[up][3], row[3])
+        if row[9] == "block" and i:
+            given = 1 + min((t[0] + LINE - 1) // LINE, 3)
+            rows[up][10] = (rows[up][10] or 0) + given
+            if up:
+                grand = rows[rows[up][2]]
+                grand[10] = (grand[10] or 0) + given // 2
+        if row[9]:
+            row[11], row[12] = "".join(texts[i]), images[i]
+    return [row + t for row, t in zip(rows, total, strict=True)]
+
+
+def _opaque(n: Node) -> bool:
+    """What stands in a form or a medium does not count for what is around it."""
+    return n.tag in ("form", "input", "textarea", "embed", "object", "video", "audio")
 
 
 def nodes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -517,7 +661,7 @@ def nodes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = list(_rows(k, Page(h or "", u or "")))
+                rows = _rows(k, Page(h or "", u or ""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODE, strict=True)], schema=_NODE)
 
     return pages.selectExpr(f"cast(`{key}` as bigint) AS k", f"`{url}` AS u", f"`{html}` AS h").mapInArrow(run, NODES)

@@ -202,6 +202,14 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 # -- OPML --------------------------------------------------------------------------------------------------------
 
+def _chain(path: tuple | None) -> list[str]:
+    out = []
+    while path is not None:
+        path, name = path
+        out.append(name)
+    return out[::-1]
+
+
 OUTLINE = "uri string, link string, title string, htmlurl string, category array<string>"
 
 
@@ -216,19 +224,14 @@ def outlines(xml: str | None, keep_category: bool = False) -> list[dict]:
         return []
     found: list[dict] = []
 
-    def visit(e: ET.Element, path: list[str]) -> None:
-        path = [*path, e.get("title", "")]
-        for k in e:
-            if _local(k) != "outline":
-                continue
-            if k.get("xmlUrl"):
-                found.append({"link": k.get("xmlUrl"), "title": k.get("title", ""), "htmlurl": k.get("htmlUrl", ""), "category": path if keep_category else []})
-            else:
-                visit(k, path)
-
     for body in (k for k in root if _local(k) == "body"):
-        for top in (k for k in body if _local(k) == "outline"):
-            visit(top, [])
+        todo = [(top, (None, top.get("title", ""))) for top in reversed(list(body)) if _local(top) == "outline"]
+        while todo:  # an outline, and its folders as a chain from the innermost
+            e, path = todo.pop()
+            if e.get("xmlUrl") and path[0] is not None:
+                found.append({"link": e.get("xmlUrl"), "title": e.get("title", ""), "htmlurl": e.get("htmlUrl", ""), "category": _chain(path[0]) if keep_category else []})
+            else:
+                todo += [(k, (path, k.get("title", ""))) for k in reversed(list(e)) if _local(k) == "outline"]
     return found
 
 

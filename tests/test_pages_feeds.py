@@ -99,3 +99,41 @@ def test_bytes(spark):
 def test_suffix(spark):
     df = spark.createDataFrame([('attachment; filename="a%20b.jpg"', "image/png"), ("", "image/png; q=1"), ("", "")], "d string, m string")
     assert [r[0] for r in df.select(fetched.file_suffix(F.col("d"), F.col("m"))).collect()] == ["a b.jpg", ".png", ""]
+
+
+def test_pages_of_any_depth_and_width():
+    import time
+
+    hard = ["<div>" * 100000, "<div>x" * 30000, "<ul>" + "<li>x</li>" * 60000 + "</ul>", "<b>" * 50000 + "x", "<table><tr><td>" * 20000 + "x", "<a>x" * 30000, "<form>" * 50000, "<p></p>" * 50000 + "x", "<!--" * 50000, '<a "' * 50000, "<object>" * 50000]
+    for page in hard:
+        begun = time.process_time()
+        rows = dom._rows(1, dom.Page(page, ""))
+        dom.fragment(page, "")
+        assert rows and time.process_time() - begun < 12, page[:20]
+    assert dom.fragment("<div>" * 100000 + "deep", "")["html"] == "<div><p>deep</p></div>"
+
+
+def test_sums_below_each_node():
+    page = dom.Page("<div><p>one two<a href=x>three <a href=y>four</a></a><img src=i><object>five</object></p><form>six</form></div>", "")
+    names = [f.name for f in dom._NODE]
+    rows = [dict(zip(names, r, strict=True)) for r in dom._rows(7, page)]
+    p = next(r for r in rows if r["tag"] == "p")
+    assert (p["words"], p["anchor_words"], p["out_words"], p["links"], p["anchors"], p["imgs"], p["objects"]) == (5, 2, 3, 2, 2, 1, 1)  # links do not nest: the second closes the first
+    assert p["role"] == "block" and p["block_text"] == "one twothreefour" and p["block_images"] == ["i"]
+    assert all(r["end_id"] == max(x["node_id"] for x in rows if x["node_id"] == r["node_id"] or r["node_id"] in _above(rows, x["node_id"])) for r in rows)
+    assert [r["points"] for r in rows if r["tag"] == "div"] == [2]
+
+
+def test_outlines_of_any_depth():
+    deep = "<opml><body>" + '<outline title="f">' * 20000 + '<outline title="A" xmlUrl="a"/>' + "</outline>" * 20000 + "</body></opml>"
+    assert [(o["link"], o["category"]) for o in feeds.outlines(deep)] == [("a", [])]
+    assert feeds.outlines(deep, True)[0]["category"] == ["f"] * 20000
+
+
+def _above(rows, i):
+    up = {r["node_id"]: r["parent_id"] for r in rows}
+    out = set()
+    while i >= 0:
+        i = up[i]
+        out.add(i)
+    return out
