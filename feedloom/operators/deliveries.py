@@ -57,21 +57,28 @@ def copies(spark: SparkSession, path: str) -> DataFrame:
     return message_key(positions(spark, path)).join(groups(spark, path), "key")
 
 
+def losers(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_id, key, first, copies, file, pos) of each row that is deleted: the copies of a message but its winner."""
+    return copies(spark, path).where("NOT (file = first.file AND pos = first.pos)")
+
+
 def pairs(spark: SparkSession, path: str) -> DataFrame:
     """(entry_id_a, entry_id_b), a < b: each pair of copies of one message.
 
-    The expansion is what the result asks for; it is an equi-join on the key, so that a hot message is split over
-    tasks by the skew join of adaptive execution instead of being collected.
+    Each deleted row with its winner, and the deleted rows of one message with each other, which only messages of three
+    copies and more have. The expansion is what the result asks for; it is an equi-join on the key, so that a hot
+    message is split over tasks by the skew join of adaptive execution instead of being collected.
     """
-    c = copies(spark, path).select("key", "entry_id")
+    gone = losers(spark, path)
+    won = gone.select(F.least("entry_id", "first.entry_id").alias("entry_id_a"), F.greatest("entry_id", "first.entry_id").alias("entry_id_b")).where("entry_id_a < entry_id_b")
+    c = gone.where("copies > 2").select("key", "entry_id")
     a, b = c.withColumnRenamed("entry_id", "entry_id_a"), c.withColumnRenamed("entry_id", "entry_id_b")
-    return a.join(b, "key").where("entry_id_a < entry_id_b").select("entry_id_a", "entry_id_b")
+    return won.unionAll(a.join(b, "key").where("entry_id_a < entry_id_b").select("entry_id_a", "entry_id_b"))
 
 
 def deletion_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(file, slice, rows ARRAY<INT>): the rows to leave out; a slice has SLICE rows at most."""
-    gone = copies(spark, path).where("NOT (file = first.file AND pos = first.pos)")
-    return gone.groupBy("file", F.expr(f"pos div {SLICE}").alias("slice")).agg(F.collect_list(F.expr(f"cast(pos % {SLICE} AS INT)")).alias("rows"))
+    return losers(spark, path).groupBy("file", F.expr(f"pos div {SLICE}").alias("slice")).agg(F.collect_list(F.expr(f"cast(pos % {SLICE} AS INT)")).alias("rows"))
 
 
 def _locate(uri: str):
@@ -97,13 +104,16 @@ def _row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out, pa.schema({"file": pa.string(), "group": pa.int32(), "first": pa.int64(), "size": pa.int64()}))
 
 
-def keep_one(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the table at `path`, with one row of each message: the one delivered first.
+def keep_one(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The table at `path`, all columns or those given, with one row of each message: the one delivered first.
 
     Rows without any identifier are all kept; an empty table gives an empty one; extra columns pass through.
-    The footers are read by the executors. Columns of a table come from its files, not from folder names.
+    The footers are read by the executors, and of the row groups only the columns asked for. Columns of a table come from
+    its files, not from folder names. Files are opened by pyarrow with what the environment of the executors gives it for
+    access; for a store that only Hadoop can open use `keep_one_anywhere`.
     """
     wide = spark.read.parquet(path)
+    wide = wide.select(*[f"`{c}`" for c in columns]) if columns else wide
     schema, arrow = wide.schema, to_arrow_schema(wide.schema)
     listed = wide.select(F.col("_metadata.file_path").alias("file")).distinct()  # the scan reads no column for it
     chunks = listed.mapInArrow(_row_groups, "file string, group int, first bigint, size bigint")
@@ -131,3 +141,16 @@ def keep_one(spark: SparkSession, path: str) -> DataFrame:
                         yield from table.to_batches()
 
     return todo.mapInArrow(read, schema)
+
+
+def keep_one_anywhere(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """As `keep_one`, read by Spark's own scan, for any file system that Hadoop knows.
+
+    The deleted positions are an anti-join on file and row. They are few beside the table, so that adaptive execution
+    sends them to all tasks where they are small; where they are not, the payload is exchanged, which `keep_one` avoids.
+    """
+    wide = spark.read.parquet(path)
+    names = columns or wide.columns
+    x = wide.select(*[f"`{c}`" for c in names], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+    gone = losers(spark, path).select(F.col("file").alias("__file"), F.col("pos").alias("__pos"))
+    return x.join(gone, ["__file", "__pos"], "left_anti").select(*[f"`{c}`" for c in names])

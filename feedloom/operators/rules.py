@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 #: Length of the key by which rules are found; rules with less are only matched by texts with less.
 KEY = 5
-#: Rules up to this number are broadcast, more are joined by key.
-BROADCAST = 20_000
+#: Up to so many rules are compared with each URL; more are joined by key, so that a URL meets only those it may match.
+FEW = 200
+#: Up to so many rules the keyed ones are sent to all tasks, so that no window of a URL is exchanged.
+BROADCAST = 200_000
+#: Regular expressions have no key; more than these are an error.
+REGEXES = 1_000
 
 
 def load(lines: DataFrame, column: str = "value", order: str = "line_no") -> DataFrame:
@@ -93,11 +97,11 @@ def _decide(hits: DataFrame, urls: DataFrame, key: str) -> DataFrame:
 
 
 def blocked(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
-    """Add `blocked`. Up to BROADCAST rules are sent to all tasks; their number is checked first. `key` is unique.
+    """Add `blocked`. The number of rules is checked first; beyond FEW they are joined by key. `key` is unique.
 
     Null and empty URLs are not blocked.
     """
-    if rules.limit(BROADCAST + 1).count() > BROADCAST:
+    if rules.limit(FEW + 1).count() > FEW:
         return blocked_by_key(urls, rules, key, url)
     u, r = _parsed(urls, key, url).alias("u"), F.broadcast(rules.where("kind <> 'regex'")).alias("r")
     return _decide(u.join(r, _holds("u", "r")).select("u.k", "r.kind"), urls, key)
@@ -106,10 +110,13 @@ def blocked(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
 def blocked_by_key(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
     """J5 for lists of any size: candidates share five characters, then the rule is verified.
 
+    Up to BROADCAST rules go to all tasks, so that only hits are exchanged; beyond that the windows are.
     Short rules meet short texts on their first characters. A rule of five bytes but less than five characters is keyed
     by all of it and meets the windows of two to four characters that have as many bytes.
     """
     keyed = rules.where("kind <> 'regex'").withColumn("g", F.substring("sep", 1, KEY))
+    if rules.limit(BROADCAST + 1).count() <= BROADCAST:
+        keyed = F.broadcast(keyed)
     u = _parsed(urls, key, url)
     grams = lambda c: F.when(F.length(c) >= KEY, F.transform(F.sequence(F.lit(1), F.length(c) - KEY + 1), lambda i: F.substr(c, i, F.lit(KEY)))).otherwise(F.array())
     starts = lambda c: F.when((F.octet_length(c) < KEY) & (F.length(c) > 0), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, F.lit(1), i))).otherwise(F.array())
@@ -124,9 +131,9 @@ def blocked_by_key(urls: DataFrame, rules: DataFrame, key: str, url: str) -> Dat
 def matches_regex(urls: DataFrame, rules: DataFrame, key: str, url: str) -> DataFrame:
     """J5f, off by default: (key) of URLs that a regex rule matches; only for few rules, which are broadcast.
 
-    Regular expressions have no key, so more than BROADCAST of them are an error.
+    Regular expressions have no key, so more than REGEXES of them are an error.
     """
-    r = rules.where("kind = 'regex'").select("sep")
-    if r.limit(BROADCAST + 1).count() > BROADCAST:
-        raise ValueError(f"more than {BROADCAST} regex rules")
+    r, most = rules.where("kind = 'regex'").select("sep"), min(REGEXES, BROADCAST)
+    if r.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} regex rules")
     return urls.alias("u").join(F.broadcast(r).alias("r"), F.expr(f"u.`{url}` rlike r.sep"), "left_semi").select(key)

@@ -16,7 +16,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.keep_one(spark, f"{d}/entries.parquet").select("entry_id", "batch_id", "title", "summary", "guid", "link", "feed", "status")
+    return deliveries.keep_one(spark, f"{d}/entries.parquet", ["entry_id", "batch_id", "title", "summary", "guid", "link", "feed", "status"])
 
 
 def p5_messages(spark: SparkSession, d: str) -> DataFrame:

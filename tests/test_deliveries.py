@@ -32,6 +32,10 @@ def test_copies(spark, tmp_path):
     assert got == {(1, 2), (5, 6), (5, 7), (6, 7), (10, 11)}
     kept = D.keep_one(spark, path)
     assert sorted(r["entry_id"] for r in kept.collect()) == [1, 3, 4, 5, 8, 9, 10]
+    some = D.keep_one(spark, path, ["link", "entry_id"])
+    assert some.schema.names == ["link", "entry_id"] and sorted(r["entry_id"] for r in some.collect()) == [1, 3, 4, 5, 8, 9, 10]
+    other = D.keep_one_anywhere(spark, path)
+    assert other.schema.names == kept.schema.names and sorted(map(str, other.collect())) == sorted(map(str, kept.collect()))
     assert kept.schema.names == KIND.replace(" bigint", "").replace(" string", "").split(", ")
 
 
@@ -45,7 +49,7 @@ def test_hot_message_and_row_groups(spark, tmp_path):
 
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     path = table(spark, tmp_path, [(1, "a", "l", "f", "x", None)] * 4)
-    assert D.keep_one(spark, path).count() == 1
+    assert D.keep_one(spark, path).count() == 1 and D.keep_one_anywhere(spark, path).count() == 1 and D.pairs(spark, path).count() == 0
     empty = str(tmp_path / "none.parquet")
     spark.createDataFrame([], KIND).write.parquet(empty)
     assert D.keep_one(spark, empty).count() == 0 and D.pairs(spark, empty).count() == 0
