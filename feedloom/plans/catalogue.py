@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import timestamps
 from feedloom.operators import deliveries
-from feedloom.plans import page_queries, store_queries
+from feedloom.plans import built_queries, page_queries, store_queries
 from feedloom.session import table
 
 
@@ -52,7 +52,7 @@ WITH m AS (
   FROM entries)
 """  # noqa: E501
 
-QUERIES = {"p5_found": p5_found, "p5_kept": p5_kept, "p5_messages": p5_messages, "p7_found": p7_found, "p7_normalized": p7_normalized, **store_queries.QUERIES, **page_queries.QUERIES}
+QUERIES = {"p5_found": p5_found, "p5_kept": p5_kept, "p5_messages": p5_messages, "p7_found": p7_found, "p7_normalized": p7_normalized, **store_queries.QUERIES, **page_queries.QUERIES, **built_queries.QUERIES}
 
 SQL = {
     "p5_found": _MESSAGES
@@ -63,4 +63,5 @@ SELECT e.entry_id, batch_id, title, summary, guid, link, feed, status FROM entri
     "p5_messages": _MESSAGES + "SELECT min(entry_id) AS first_id, count(*) AS copies FROM m WHERE ident IS NOT NULL GROUP BY scope, ident HAVING count(*) > 1",
     **store_queries.SQL,
     **page_queries.SQL,
+    **built_queries.SQL,
 }

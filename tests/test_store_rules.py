@@ -89,3 +89,14 @@ def test_rules_of_few_characters_in_any_number(spark, monkeypatch):
     monkeypatch.setattr(rules, "BROADCAST", 1)
     with pytest.raises(ValueError):
         rules.matches_regex(u, r, "id", "url")
+
+
+def test_rules_of_few_characters_by_key(spark, monkeypatch):
+    lines = ["||新闻", "||论坛网", "|http://сайт", "@@||好新闻"]
+    r = rules.load(spark.createDataFrame(list(enumerate(lines)), "line_no int, value string"))
+    u = spark.createDataFrame([(0, "http://www.新闻.test/"), (1, "http://x.论坛网/"), (2, "http://сайт.test/"), (3, "http://好新闻.test/"), (4, "http://a.test/")], "id int, url string")
+    for most in (0, 100):  # windows exchanged, rules sent to all tasks
+        monkeypatch.setattr(rules, "BROADCAST", most)
+        monkeypatch.setattr(rules, "FEW", 0)
+        for f in (rules.blocked_by_key, rules.blocked):
+            assert {x["id"] for x in f(u, r, "id", "url").where("blocked").collect()} == {0, 1, 2}
