@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: The pieces of a text; the white space of the vocabulary's own splitter has no U+001C to U+001F.
@@ -124,6 +125,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _sent(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary to all workers, once for each application; the name under which they find it."""
+    sent = spark.sparkContext.__dict__.setdefault("_feedloom_files", set())
+    if (key := (spark.sparkContext.applicationId, path)) not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(key)
+    return path.rstrip("/").rpartition("/")[2]
+
+
 def encode_column(df: DataFrame, text: str, out: str, path: str, count_only: bool = False) -> DataFrame:
     """Add `out`: the ids of `text` as ARRAY<INT>, or their number as BIGINT.
 
@@ -133,8 +143,10 @@ def encode_column(df: DataFrame, text: str, out: str, path: str, count_only: boo
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType() if count_only else T.ArrayType(T.IntegerType()))])
 
+    name = _sent(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for batch in batches:
             ids: list[int] = []
             ends = [0]
@@ -155,8 +167,10 @@ def decode_column(df: DataFrame, ids: str, out: str, path: str) -> DataFrame:
     """Add `out`: the text of the list `ids`; an empty or null list gives the empty text."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
+    name = _sent(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for batch in batches:
             column = [e.decode(x) if x else "" for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.string())], names=[*batch.schema.names, out])

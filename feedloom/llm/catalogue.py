@@ -98,8 +98,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("sources", F.array("source"))
-    targets = table(spark, d, "mix_targets")
+    docs, targets = _texts_and_targets(spark, d)
     ranges, sizes, long = mixture.plan(docs, targets, "doc_id", "sources", "text", bpe.default_vocabulary())
     return docs, targets, ranges, sizes, long
 
@@ -115,6 +114,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(ranges, sizes, targets)
 
 
+def _texts_and_targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "documents").select("doc_id", "source", "text").withColumn("sources", F.array("source")), table(spark, d, "mix_targets")
+
+
+def p9_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """The shares where a document belongs to every source that has its text, so that the flow chooses between them."""
+    docs, targets = _texts_and_targets(spark, d)
+    ranges, sizes, _ = mixture.plan(docs, targets, "doc_id", "sources", "text", bpe.default_vocabulary(), by_text=True)
+    return mixture.shares(ranges, sizes, targets)
+
+
+def p9_policies(spark: SparkSession, d: str) -> DataFrame:
+    """What each way to treat scarce sources comes to."""
+    docs, targets = _texts_and_targets(spark, d)
+    return mixture.policies(mixture.measured(docs, "doc_id", "sources", "text", bpe.default_vocabulary(), 42), targets)
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     finder = pii_ops.fit(spread(docs), "text", table(spark, d, "name_parts"))
@@ -141,7 +157,7 @@ n AS (SELECT coalesce(feed, chr(0)) AS src, count(*) AS n FROM entries GROUP BY
 r AS (SELECT src, key FROM k JOIN n USING (src) WHERE key <> '' GROUP BY src, key, n HAVING count(DISTINCT entry_id) >= 5 AND count(DISTINCT entry_id) >= 0.1 * n)
 """  # noqa: E501
 
-QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_clean": p6_clean, "p6_unique": p6_unique, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_main": p2_main, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_clean": p6_clean, "p6_unique": p6_unique, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_overlap": p9_overlap, "p9_policies": p9_policies, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 SQL = {
     "p1_found": _P1 + "SELECT entry_id, line_no FROM k JOIN r USING (src, key)",

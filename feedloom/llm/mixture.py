@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.llm import bpe
+from feedloom.llm.site_lines import digest
 from feedloom.session import cut
 
 
@@ -127,16 +128,79 @@ def order_of(key: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
 
 
-def measured(docs: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int) -> DataFrame:
+def measured(docs: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int, by_text: bool = False) -> DataFrame:
     """(pattern, place, n): sorted distinct sources, place in the seeded order and tokens of each document.
 
-    Documents of no source have the empty pattern: they count for the size of the corpus and are never taken.
+    Documents of no source have the empty pattern: they count for the size of the corpus and are never taken. With
+    `by_text` a document belongs to the sources of all documents that have its text; texts meet as digests.
     """
+    if by_text:
+        return _by_text(docs, key, sources, text, vocabulary, seed)
     x = docs.select(F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.col(sources)))), F.array().cast("array<string>")).alias("pattern"), order_of(F.col(key), seed).alias("place"), F.col(text).alias("body"))
     x = bpe.encode_column(x.where("length(body) > 0"), "body", "n", vocabulary, count_only=True)
     return cut(x.select("pattern", "place", "n").where("n > 0"))
 
 
+def _by_text(docs: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int) -> DataFrame:
+    own = F.coalesce(F.array_distinct(F.array_compact(F.col(sources))), F.array().cast("array<string>"))
+    x = docs.select(own.alias("own"), order_of(F.col(key), seed).alias("place"), digest(F.col(text)).alias("doc"), F.col(text).alias("body"))
+    x = cut(bpe.encode_column(x.where("length(body) > 0"), "body", "n", vocabulary, count_only=True).select("own", "place", "doc", "n").where("n > 0"))
+    # a text has at most as many sources as there are; those of one source only are left out of the join
+    some = x.select("doc", F.explode("own").alias("s")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("all")).where("size(all) > 1")
+    return x.join(some, "doc", "left").select(F.coalesce("all", F.array_sort("own")).alias("pattern"), "place", "n")
+
+
+#: More patterns than this are refused: their sums come to the driver, and the flow has a node for each.
+MOST_PATTERNS = 100_000
+#: Long documents up to this number are broadcast.
+BROADCAST = 1 << 20
+
+
+def _totals(sizes: DataFrame) -> dict[tuple[str, ...], int]:
+    rows = sizes.groupBy("pattern").agg(F.sum("n").alias("total")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of membership")
+    return {tuple(r["pattern"]): r["total"] for r in rows}
+
+
+def _mixes(targets: DataFrame) -> dict[int, tuple[list[Target], float]]:
+    """The targets and the size factor of each mixture."""
+    out: dict[int, tuple[list[Target], float]] = {}
+    for r in sorted(targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").collect(), key=lambda r: (r["mix_id"], r["source"])):
+        out.setdefault(r["mix_id"], ([], r["size_factor"]))[0].append(Target(r["source"], r["target_share"], r["max_repeats"]))
+    return out
+
+
+POLICY = "mix_id int, policy string, asked bigint, tokens bigint, shortfall double, max_deviation double"
+
+
+def policies(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_id, policy, asked, tokens, shortfall, max_deviation): what each way to treat scarce sources comes to.
+
+    'nearest' gives each source its part of the size asked for, or all it has; this is what `plan` does. 'size' raises
+    all parts until the size is reached. 'shares' lowers the size until every source that has documents keeps its
+    share. The shortfall is the part of the size that is not reached, the deviation that of a source's share of what
+    is reached from its target, the largest of a mixture.
+    """
+    totals, rows = _totals(sizes), []
+    corpus = sum(totals.values())
+    for mix, (goals, factor) in _mixes(targets).items():
+        size = int(factor * corpus)
+        parts = {p: n for p, n in totals.items() if {t.source for t in goals} & set(p)}
+        full: dict[str, int] = {}
+        for (_, _, s), n in route(parts, goals, size).items():
+            full[s] = full.get(s, 0) + n
+        held = min((n / (t.share * size) for t in goals for n in [full.get(t.source, 0)] if n and t.share > 0), default=0.0) if size else 0.0
+        for policy, wanted, fill in (("nearest", size, False), ("size", size, True), ("shares", int(min(1.0, held) * size), False)):
+            got: dict[str, int] = {}
+            for (_, _, s), n in route(parts, goals, wanted, fill).items():
+                got[s] = got.get(s, 0) + n
+            total = sum(got.values())
+            off = max((abs(got.get(t.source, 0) / total - t.share) for t in goals), default=0.0) if total else 0.0
+            rows.append((mix, policy, size, total, 1 - total / size if size else 0.0, off))
+    return sizes.sparkSession.createDataFrame(rows, POLICY)
+
+
 #: Slices of the seeded order; only those that hold the end of a range are ordered exactly.
 SLICES = 4096
 #: A document is long if it has more than this part of the tokens of its pattern; so there are at most as many.
@@ -182,31 +246,29 @@ def _cuts(short: DataFrame, wanted: list[tuple]) -> list[tuple]:
     return [(tuple(r["pattern"]), r["cut"], r["part"] << 52 if r["last"] is None else r["last"] + 1) for r in got]
 
 
-def plan(docs: DataFrame, targets: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, targets: DataFrame, key: str, sources: str, text: str, vocabulary: str, seed: int = 42, by_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The ranges of the mixtures, the measured documents (pattern, place, n, size) and the places of long ones.
 
-    Only sums by pattern, at most LONG long documents of each and the targets come to the driver; none grows with
-    the documents. Null and empty texts have no tokens; documents of no source count for the total only. Targets with a
-    null source, share or cap count as absent. Empty tables give empty mixtures.
+    Only sums by pattern, at most LONG long documents of each and the targets come to the driver; patterns are bounded
+    by MOST_PATTERNS. Null and empty texts have no tokens; documents of no source count for the total only. Targets with a
+    null source, share or cap count as absent. Empty tables give empty mixtures. For `by_text` see `measured`.
     """
     spark = docs.sparkSession
-    sizes = measured(docs, key, sources, text, vocabulary, seed)
-    by = targets.where("source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL").collect()
+    sizes = measured(docs, key, sources, text, vocabulary, seed, by_text)
+    if by_text:
+        sizes = cut(sizes)
+    totals = _totals(sizes)
     sums = sizes.groupBy("pattern").agg(F.sum("n").alias("total"))
-    totals = {tuple(r["pattern"]): r["total"] for r in sums.collect()}
     sizes = sizes.join(sums, "pattern").select("pattern", "place", "n", F.when(F.col("n") * LONG > F.col("total"), "long").otherwise("short").alias("size"))
     long: dict[tuple, list] = {}
     for r in sizes.where("size = 'long' AND size(pattern) > 0").select("pattern", "place", "n").collect():
         long.setdefault(tuple(r["pattern"]), []).append((r["place"], r["n"]))
     docs_tokens = sum(totals.values())
     rows, wanted = [], []
-    for mix in sorted({r["mix_id"] for r in by}):
-        own = [r for r in by if r["mix_id"] == mix]
-        names = {r["source"] for r in own}
-        goals = [Target(r["source"], r["target_share"], r["max_repeats"]) for r in own]
-        parts = {p: n for p, n in totals.items() if names & set(p)}
+    for mix, (goals, factor) in _mixes(targets).items():
+        parts = {p: n for p, n in totals.items() if {t.source for t in goals} & set(p)}
         left: dict = {}
-        for (p, r, s), n in sorted(route(parts, goals, int(own[0]["size_factor"] * docs_tokens)).items()):
+        for (p, r, s), n in sorted(route(parts, goals, int(factor * docs_tokens)).items()):
             if n == totals[p]:
                 rows.append((mix, list(p), r, s, "all", FLOOR, CEILING))
                 continue
@@ -233,29 +295,33 @@ def _hit(rows: str) -> Column:
 def mixture(docs: DataFrame, ranges: DataFrame, long: DataFrame, key: str, sources: str, seed: int = 42) -> DataFrame:
     """Columns of `docs` as struct `d` with mix_id, mix_source and copy (from 1), a row for each use of a document.
 
-    The ranges and the long documents were made on the driver and are broadcast; the texts are not shuffled.
+    The ranges and the long documents were made on the driver and are broadcast, the long ones up to BROADCAST of them;
+    the texts are not shuffled.
     """
+    marked = long.withColumn("is_long", F.lit(True))
+    marked = F.broadcast(marked) if long.limit(BROADCAST + 1).count() <= BROADCAST else marked
     pattern = F.array_sort(F.array_distinct(F.array_compact(F.col(sources))))
     x = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), pattern.alias("pattern"), order_of(F.col(key), seed).alias("place"))
-    x = x.join(F.broadcast(long.withColumn("is_long", F.lit(True))), ["pattern", "place"], "left")
+    x = x.join(marked, ["pattern", "place"], "left")
     x = x.select("d", "pattern", "place", F.when(F.col("is_long"), "long").otherwise("short").alias("size"))
     return x.alias("x").join(F.broadcast(ranges.alias("m")), _hit("x")).select("x.d", F.col("m.mix_id").alias("mix_id"), F.col("m.source").alias("mix_source"), F.col("m.copy").alias("copy"))
 
 
 def shares(ranges: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, share_of_size, actual_share, tokens, documents, copies, top_copy) of each target.
+    """(mix_id, source, target_share, share_of_size, actual_share, reachable, deviation, tokens, documents, copies, top_copy).
 
-    share_of_size is relative to the size asked for, actual_share to the size reached.
+    share_of_size is relative to the size asked for, actual_share to the size reached; reachable is the target or what
+    all documents of the source come to, repeated as often as they may be; deviation is share_of_size less reachable.
     """
     used = sizes.alias("s").join(F.broadcast(ranges.alias("m")), _hit("s"))
     used = used.groupBy("mix_id", "source", "copy").agg(F.sum("n").alias("n"), F.count("*").alias("k")).groupBy("mix_id", "source").agg(F.sum("n").alias("tokens"), F.max("k").alias("documents"), F.sum("k").alias("copies"), F.max("copy").alias("top_copy"))
     all_tokens = used.groupBy("mix_id").agg(F.sum("tokens").alias("all_tokens"))
+    has = sizes.groupBy("pattern").agg(F.sum("n").alias("n")).select(F.explode("pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("has"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    out = targets.join(used, ["mix_id", "source"], "left").join(all_tokens, "mix_id", "left")
+    out = targets.join(used, ["mix_id", "source"], "left").join(all_tokens, "mix_id", "left").join(has, "source", "left")
     out = out.crossJoin(sizes.agg(F.sum("n").alias("corpus")))  # one row
-    asked = F.coalesce(F.col("tokens") / (F.col("size_factor") * F.col("corpus")), F.lit(0.0)).alias("share_of_size")
+    size = F.col("size_factor") * F.col("corpus")
+    asked = F.coalesce(F.col("tokens") / size, F.lit(0.0))
     actual = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
-    return out.select("mix_id", "source", "target_share", asked, actual, *map(zero, ("tokens", "documents", "copies", "top_copy")))
-
-
-
+    most = F.least(F.col("target_share"), F.coalesce(F.col("has") * F.col("max_repeats") / size, F.lit(0.0)))
+    return out.select("mix_id", "source", "target_share", asked.alias("share_of_size"), actual, most.alias("reachable"), (asked - most).alias("deviation"), *map(zero, ("tokens", "documents", "copies", "top_copy")))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.llm import bpe, garbled, markup, markup_ops, mixture, pii, pii_ops
 
@@ -291,3 +292,34 @@ def test_han_characters_beside_a_letter():
         a, b = (1, len(text)) if behind else (0, len(text) - 1)
         a, b = garbled.Model._utf8(a, b, text, "gb18030", behind)
         assert text[a:b] == want
+
+
+def test_texts_in_several_sources_belong_to_all_of_them(spark, vocabulary):
+    rows = [(i, f"own text {i}", "a", 1) for i in range(20)] + [(100 + i, f"shared text {i}", "a", 1) for i in range(20)] + [(200 + i, f"shared text {i}", "b", 1) for i in range(20)] + [(300, None, "b", 1), (301, "", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, n int").withColumn("sources", F.array("source"))
+    got = {tuple(r["pattern"]): r["k"] for r in mixture.measured(docs, "doc_id", "sources", "text", vocabulary, 1, by_text=True).groupBy("pattern").agg(F.count("*").alias("k")).collect()}
+    assert got == {("a",): 20, ("a", "b"): 40}
+    targets = spark.createDataFrame([(1, "a", 0.4, 1, 1.0), (1, "b", 0.6, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_factor double")
+    ranges, sizes, _ = mixture.plan(docs, targets, "doc_id", "sources", "text", vocabulary, by_text=True)
+    out = {r["source"]: r for r in mixture.shares(ranges, sizes, targets).collect()}
+    assert abs(out["b"]["share_of_size"] - 0.6) < 0.02 and abs(out["a"]["share_of_size"] - 0.4) < 0.02  # b alone has a third of the tokens
+    alone = {r["source"]: r for r in mixture.shares(*mixture.plan(docs, targets, "doc_id", "sources", "text", vocabulary)[:2], targets).collect()}
+    assert alone["b"]["share_of_size"] < 0.4 and abs(alone["b"]["deviation"]) < 1e-9
+
+
+def test_policies(spark, vocabulary):
+    rows = [(i, "one two three four", "big") for i in range(90)] + [(100 + i, "one two three four", "small") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumn("sources", F.array("source"))
+    targets = spark.createDataFrame([(1, "big", 0.5, 2, 1.0), (1, "small", 0.5, 1, 1.0), (2, "none", 1.0, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_factor double")
+    got = {(r["mix_id"], r["policy"]): r for r in mixture.policies(mixture.measured(docs, "doc_id", "sources", "text", vocabulary, 1), targets).collect()}
+    near, size, share = (got[1, p] for p in ("nearest", "size", "shares"))
+    assert (near["asked"], near["tokens"], size["tokens"], share["tokens"]) == (400, 240, 400, 80)
+    assert abs(near["shortfall"] - 0.4) < 1e-9 and size["shortfall"] == 0 and share["max_deviation"] == 0
+    assert got[2, "nearest"]["tokens"] == 0 and got[2, "size"]["shortfall"] == 1
+
+
+def test_too_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MOST_PATTERNS", 2)
+    sizes = spark.createDataFrame([(["a"], 1), (["b"], 1), (["c"], 1)], "pattern array<string>, n bigint")
+    with pytest.raises(ValueError):
+        mixture._totals(sizes)
