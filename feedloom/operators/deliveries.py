@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from feedloom.session import strip_space
+from feedloom.session import cut, strip_space
 
 #: Rows of a file that share one deletion vector; bounds the size of each.
 SLICE = 1 << 16
@@ -69,7 +69,7 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
     copies and more have. The expansion is what the result asks for; it is an equi-join on the key, so that a hot
     message is split over tasks by the skew join of adaptive execution instead of being collected.
     """
-    gone = losers(spark, path)
+    gone = cut(losers(spark, path).select("entry_id", "key", "first", "copies"))  # narrow and few; it is read twice
     won = gone.select(F.least("entry_id", "first.entry_id").alias("entry_id_a"), F.greatest("entry_id", "first.entry_id").alias("entry_id_b")).where("entry_id_a < entry_id_b")
     c = gone.where("copies > 2").select("key", "entry_id")
     a, b = c.withColumnRenamed("entry_id", "entry_id_a"), c.withColumnRenamed("entry_id", "entry_id_b")
