@@ -60,7 +60,7 @@ def kept_siblings(nodes: DataFrame) -> DataFrame:
 
 
 def article_blocks(nodes: DataFrame) -> DataFrame:
-    """(page_id, block_idx, node_id, text, images, forms, sums): paragraphs and shells in the kept nodes, in order.
+    """(page_id, block_idx, node_id, text, html, images, forms, sums): paragraphs and shells in the kept nodes, in order.
 
     Kept nodes are siblings, so a block stands in one of them if the last of those that begin before it ends behind it.
     """
@@ -69,17 +69,23 @@ def article_blocks(nodes: DataFrame) -> DataFrame:
     x = x.withColumn("__end", F.max(F.when(F.col("kept"), F.col("end_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.where("role <> '' AND node_id <= __end").withColumn("block_idx", (F.row_number().over(order) - 1).cast("bigint"))
     forms = F.when(F.col("role") == "shell", 1).otherwise(0).cast("bigint")
-    return x.select("page_id", "block_idx", "node_id", F.col("block_text").alias("text"), F.col("block_images").alias("images"), forms.alias("forms"), *SUMS)
+    return x.select("page_id", "block_idx", "node_id", F.col("block_text").alias("text"), F.col("block_html").alias("html"), F.col("block_images").alias("images"), forms.alias("forms"), *SUMS)
 
 
-def extract(nodes: DataFrame) -> DataFrame:
+#: What stands around the paragraphs of a document.
+BEFORE, BEHIND = "<!DOCTYPE html><html><body><article>", "</article></body></html>"
+
+
+def extract(nodes: DataFrame, document: bool = False) -> DataFrame:
     """(page_id, word_count, link_count, images, text) of the article of each page, after the block classifier.
 
-    Every page has a row; a page without candidates has an empty article. The plan has one exchange, by page.
+    With `document` also `html`, the article as a document of its own (S6). Every page has a row; a page without
+    candidates has an empty article. The plan has one exchange, by page.
     """
     judged = blocks.form_prefix(blocks.classify(article_blocks(nodes))).where("final")
-    one = judged.select("page_id", "block_idx", "text", "images", "out_words", "links")
-    empty = nodes.where("parent_id < 0").select("page_id", F.lit(-1).cast("bigint").alias("block_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<string>").alias("images"), F.lit(0).cast("bigint").alias("out_words"), F.lit(0).cast("bigint").alias("links"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block_idx", "text")))), lambda s: s["text"]), "\n")
+    one = judged.select("page_id", "block_idx", "text", "html", "images", "out_words", "links")
+    empty = nodes.where("parent_id < 0").select("page_id", F.lit(-1).cast("bigint").alias("block_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("array<string>").alias("images"), F.lit(0).cast("bigint").alias("out_words"), F.lit(0).cast("bigint").alias("links"))
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("block_idx", c)))), lambda s: s[c]), by)
+    html = [F.concat(F.lit(BEFORE), joined("html", ""), F.lit(BEHIND)).alias("html")] if document else []
     images = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("block_idx", "images")))), lambda s: s["images"]))
-    return one.unionAll(empty).groupBy("page_id").agg(F.sum("out_words").alias("word_count"), F.sum("links").alias("link_count"), images.alias("images"), text.alias("text"))
+    return one.unionAll(empty).groupBy("page_id").agg(F.sum("out_words").alias("word_count"), F.sum("links").alias("link_count"), images.alias("images"), joined("text", "\n").alias("text"), *html)

@@ -35,6 +35,8 @@ PLAIN = DROPPED | {"meta", "title", "head", "body", "br", "article", "h1", "h2",
 UNLIKELY = re.compile("combx|comment|community|disqus|extra|foot|header|menu|remark|rss|shoutbox|sidebar|sponsor|ad-break|agegate|pagination|pager|popup|tweet|twitter")
 FILLS = {"#text", "video", "audio", "object", "embed", "img", "a", "form", "input", "textarea"}
 STOP = frozenset("。．？！，、；：“”﹃﹄‘’﹁﹂（）［］〔〕【】—…～《》〈〉﹏＿")
+#: White space by Unicode; the separators U+001C to U+001F are none.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE, SHARE, SMALL = 65, 20, 180
 
 
@@ -467,8 +469,8 @@ class Page:
                 inline = False
             if inline and not blocks:
                 self._flatten(n)
-                self._trim(n, str.lstrip)
-                self._trim(n, str.rstrip)
+                self._trim(n, lambda t: t.lstrip(WHITE))
+                self._trim(n, lambda t: t.rstrip(WHITE))
             elif blocks:
                 todo += n.kids
 
@@ -576,11 +578,11 @@ def fragment(text: str | None, url: str | None) -> dict:
 
 _SUMS = ("words", "tokens", "anchor_words", "imgs", "anchor_imgs", "objects", "anchors", "out_words", "links")
 _NODE = pa.schema(
-    [("page_id", pa.int64()), *[(c, pa.int32()) for c in ("node_id", "parent_id", "end_id")], *[(c, pa.string()) for c in ("tag", "text", "class", "id", "src", "role")], ("points", pa.int64()), ("block_text", pa.string()), ("block_images", pa.list_(pa.string()))]
+    [("page_id", pa.int64()), *[(c, pa.int32()) for c in ("node_id", "parent_id", "end_id")], *[(c, pa.string()) for c in ("tag", "text", "class", "id", "src", "role")], ("points", pa.int64()), ("block_text", pa.string()), ("block_html", pa.string()), ("block_images", pa.list_(pa.string()))]
     + [(c, pa.int64()) for c in _SUMS]
 )
 NODES = (
-    "page_id bigint, node_id int, parent_id int, end_id int, tag string, text string, class string, id string, src string, role string, points bigint, block_text string, block_images array<string>, "
+    "page_id bigint, node_id int, parent_id int, end_id int, tag string, text string, class string, id string, src string, role string, points bigint, block_text string, block_html string, block_images array<string>, "
     + ", ".join(f"{c} bigint" for c in _SUMS)
 )
 
@@ -591,7 +593,7 @@ def _rows(page_id: int, page: Page) -> list[list]:
     `role` is block, shell or ''. A form or medium counts for what is around it, what stands in it does not. Words in
     nested links count once for each as linked words; out_words are those outside links. `points` are what the
     paragraphs give: 1 and their lines, at most 3, to the node around each, and half of it to the next unless the first is
-    the root; null where there is none. Blocks have their text and the images outside links.
+    the root; null where there is none. Blocks have their text, the paragraph they become and the images outside links.
     """
     marks = {id(b): "shell" if b.tag == "input" else "block" for b in paragraphs(page.article, True)}
     order, number, rows = page.nodes, {}, []
@@ -614,7 +616,7 @@ def _rows(page_id: int, page: Page) -> list[list]:
         elif block[i] >= 0 and n.tag == "img" and not linked[i]:
             images[block[i]].append(n.attrs.get("src", ""))
         text = n.text if n.tag == "#text" else None
-        rows.append([page_id, i, up, i, n.tag, text, n.attrs.get("class", ""), n.attrs.get("id", ""), n.attrs.get("src"), role, None, None, None])
+        rows.append([page_id, i, up, i, n.tag, text, n.attrs.get("class", ""), n.attrs.get("id", ""), n.attrs.get("src"), role, None, None, None, None])
     total = [[0] * len(_SUMS) for _ in order]
     for i in range(len(order) - 1, -1, -1):
         n, t, row = order[i], total[i], rows[i]
@@ -643,7 +645,7 @@ def _rows(page_id: int, page: Page) -> list[list]:
                 grand = rows[rows[up][2]]
                 grand[10] = (grand[10] or 0) + given // 2
         if row[9]:
-            row[11], row[12] = "".join(texts[i]), images[i]
+            row[11], row[12], row[13] = "".join(texts[i]), f"<p>{render(n)}</p>", images[i]
     return [row + t for row, t in zip(rows, total, strict=True)]
 
 

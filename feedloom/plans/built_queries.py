@@ -178,6 +178,17 @@ def q_built_extract(spark: SparkSession, d: str) -> DataFrame:
     return article.extract(_nodes(spark, d))
 
 
+@query(
+    _GROUPS
+    + f"""SELECT d.doc_id AS page_id, '{article.BEFORE}' || coalesce(string_agg(CASE WHEN anchors > 0 THEN '<p><a href="http://h.test/a/x/' || i || '">' || {_escaped_sql("line")} || '</a></p>'
+    WHEN imgs > 0 THEN '<p>' || {_escaped_sql("line")} || '<img src="' || i || '.png"/></p>' ELSE '<p>' || {_escaped_sql("line")} || '</p>' END, '' ORDER BY i), '') || '{article.BEHIND}' AS html
+FROM d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id"""
+)
+def q_built_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The article as a document of its own."""
+    return article.extract(_nodes(spark, d), document=True).select("page_id", "html")
+
+
 @query(
     _GROUPS
     + """SELECT d.doc_id AS page_id, CAST(1 + coalesce(sum(w), 0) AS INTEGER) AS text_words, CAST(coalesce(sum(CASE WHEN linked THEN w ELSE 0 END), 0) AS INTEGER) AS anchor_words, CAST(count(*) FILTER (linked) AS INTEGER) AS links,

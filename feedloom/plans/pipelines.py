@@ -46,16 +46,27 @@ def subscribe(feeds: DataFrame, payloads: DataFrame, now: Column) -> DataFrame:
     return store.save(feeds, new.withColumn("seq", F.xxhash64("link")), "seq")
 
 
-def extract(fetched_pages: DataFrame) -> DataFrame:
-    """(uri, word_count, link_count, images, text) of fetched pages (uri, status, content_type, content_encoding, body)."""
+def extract(fetched_pages: DataFrame, document: bool = False) -> DataFrame:
+    """(uri, word_count, link_count, images, text[, html]) of fetched pages (uri, status, content_type, content_encoding,
+    body)."""
     pages = fetched.pages(fetched_pages).withColumn("page_id", F.xxhash64("uri"))
-    got = article.extract(dom.nodes(pages, "page_id", "uri", "html"))
+    got = article.extract(dom.nodes(pages, "page_id", "uri", "html"), document)
     return pages.select("uri", "page_id").join(got, "page_id").drop("page_id")
 
 
+def local_name(folder: str, uri: Column) -> Column:
+    """Where the document of a page lies."""
+    return F.concat(F.lit(folder + "/"), F.sha2(uri, 256))
+
+
+def save_documents(extracted: DataFrame, folder: str) -> None:
+    """The documents of pages as a table (local, uri, html) in a folder; a file for each would not scale."""
+    extracted.select(local_name(folder, F.col("uri")).alias("local"), "uri", "html").write.mode("overwrite").parquet(folder)
+
+
 def fill_content(entries: DataFrame, extracted: DataFrame, folder: str) -> DataFrame:
     """Entries with the content found for their links."""
-    local = F.when(F.length("text") > 0, F.concat(F.lit(folder + "/"), F.sha2("uri", 256))).otherwise("")
+    local = F.when(F.length("text") > 0, local_name(folder, F.col("uri"))).otherwise("")
     return store.set_content(entries, extracted.select(F.col("uri").alias("link"), local.alias("local"), F.col("word_count").cast("int").alias("words"), "images"))
 
 

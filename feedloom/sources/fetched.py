@@ -11,7 +11,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,22 +43,31 @@ def inflate(body: bytes | None, encoding: str | None) -> bytes | None:
     return body
 
 
-_META = re.compile(rb"<meta\b[^>]*>", re.I)
+_META = re.compile(rb"<meta\b([^<>]*)>", re.I)
+_ATTRIBUTE = re.compile(rb"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 
 
 def sniff(body: bytes) -> str:
-    """The charset of the first meta element that gives one, '' if none does."""
+    """The charset of the first meta element that tells of one, '' if none does.
+
+    The content of a content-type counts even if it names none, and before a charset of the same element.
+    """
     for m in _META.finditer(body):
-        if c := re.search(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", m[0], re.I):
-            return c[1].decode("ascii", "replace")
+        named = {a[1].lower(): (a[2] or a[3] or a[4] or b"").decode("latin-1") for a in _ATTRIBUTE.finditer(m[1])}
+        if named.get(b"http-equiv", "").lower() == "content-type":
+            c = _CHARSET.search(named.get(b"content", ""))
+            return c[1] if c else ""
+        if named.get(b"charset"):
+            return named[b"charset"]
     return ""
 
 
 def to_text(body: bytes | None, content_type: str | None) -> str | None:
-    """By the charset of the header, else of the page; none or gb2312 means gbk, unless the bytes are UTF-8 alone."""
+    """By the charset of the header, else of the page; none or gb2312 means gbk."""
     if body is None:
         return None
-    c = re.search(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", content_type or "", re.I)
+    c = _CHARSET.search(content_type or "")
     name = c[1] if c else sniff(body)
     name = "gbk" if not name or name.lower() == "gb2312" else name
     try:
@@ -88,11 +96,6 @@ def file_suffix(disposition: Column, media: Column) -> Column:
     return F.when(F.length(name) > 0, name).otherwise(F.when(F.length(media) > 0, F.concat(F.lit("."), subtype)).otherwise(""))
 
 
-def file_name(disposition: str) -> str:
-    m = re.search(r"filename=([^;]+)", disposition or "")
-    return unquote(m[1]).strip(" \\t\"'") if m else ""
-
-
 # First bytes of image formats.
 MAGIC = {"bmp": "424D", "gif": "47494638", "png": "89504E47", "tiff": "49492A00", "tiff2": "4D4D002A", "jpeg": "FFD8FFE0", "jpeg2": "FFD8FFE1"}
 

@@ -55,3 +55,42 @@ def test_queries_read_whole_tables(spark, monkeypatch):
     assert page_queries.q_atom_entries(spark, D).count() == table(spark, D, "atom_entries").count()
     got = sorted((r["link"], r["title"]) for r in page_queries.q_opml_feeds(spark, D).collect())
     assert got == sorted((r["link"], r["title"] or "") for r in table(spark, D, "feeds").collect())
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    import json
+
+    from feedloom import __main__ as cli
+
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text("<meta charset=utf-8><div><p>" + "word " * 80 + "</p></div>")
+    cli.main(["extract", "--uri", str(tmp_path / "pages")])
+    row = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert row["uri"].endswith("a.html") and row["html"].startswith("<!DOCTYPE html><html><body><article><p>word ")
+    (tmp_path / "o.opml").write_text('<opml><body><outline title="f"><outline title="A" xmlUrl="a"/></outline></body></opml>')
+    cli.main(["opml", "--uri", str(tmp_path / "o.opml"), "--out", str(tmp_path / "out")])
+    assert [(r["link"], r["category"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", ["f"])]
+    (tmp_path / "r.txt").write_text("||example.org\n! note\n")
+    cli.main(["rules", "--uri", str(tmp_path / "r.txt")])
+    assert "example.org" in capsys.readouterr().out
+
+
+def test_documents_are_saved_where_entries_say(spark, tmp_path):
+    from feedloom.plans import pipelines
+
+    rows = [("http://a/", 200, "text/html; charset=utf-8", None, b"<p>" + b"word " * 80)]
+    got = pipelines.extract(spark.createDataFrame(rows, "uri string, status int, content_type string, content_encoding string, body binary"), document=True)
+    folder = str(tmp_path / "docs")
+    pipelines.save_documents(got, folder)
+    entries = spark.createDataFrame([("http://a/", 0, None, None)], "link string, status int, content struct<local:string,words:int,imgs:int>, image array<string>")
+    local = pipelines.fill_content(entries, got, folder).first()["content"]["local"]
+    saved = spark.read.parquet(folder).first()
+    assert saved["local"] == local and saved["html"].count("<p>") == 1
+
+
+def test_meta_elements_in_order():
+    from feedloom.sources.fetched import sniff
+
+    assert sniff(b'<meta content="text/html; charset=koi8-r" http-equiv="Content-Type" charset=utf-8>') == "koi8-r"
+    assert sniff(b'<meta http-equiv=content-type content="text/html"><meta charset=utf-8>') == ""
+    assert sniff(b"<meta name=x content='charset=no'><META CHARSET='gb2312'>") == "gb2312"
