@@ -59,17 +59,23 @@ def kept_siblings(nodes: DataFrame) -> DataFrame:
     return _kept(_scored(nodes)).where("kept").select("page_id", "node_id")
 
 
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """The blocks of `article_blocks`, and the root of each page with `real` off, so that no page is lost."""
+    order = Window.partitionBy("page_id").orderBy("node_id")
+    x = _kept(_scored(nodes.where("tag <> '#text'")))
+    x = x.withColumn("__end", F.max(F.when(F.col("kept"), F.col("end_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("real", F.coalesce((F.col("role") != "") & (F.col("node_id") <= F.col("__end")), F.lit(False))).where("real OR parent_id < 0")
+    x = x.withColumn("block_idx", (F.row_number().over(Window.partitionBy("page_id", "real").orderBy("node_id")) - 1).cast("bigint"))
+    forms = F.when(F.col("role") == "shell", 1).otherwise(0).cast("bigint")
+    return x.select("page_id", "real", "block_idx", "node_id", F.col("block_text").alias("text"), F.col("block_html").alias("html"), F.col("block_images").alias("images"), forms.alias("forms"), *SUMS)
+
+
 def article_blocks(nodes: DataFrame) -> DataFrame:
     """(page_id, block_idx, node_id, text, html, images, forms, sums): paragraphs and shells in the kept nodes, in order.
 
     Kept nodes are siblings, so a block stands in one of them if the last of those that begin before it ends behind it.
     """
-    order = Window.partitionBy("page_id").orderBy("node_id")
-    x = _kept(_scored(nodes.where("tag <> '#text'")))
-    x = x.withColumn("__end", F.max(F.when(F.col("kept"), F.col("end_id"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.where("role <> '' AND node_id <= __end").withColumn("block_idx", (F.row_number().over(order) - 1).cast("bigint"))
-    forms = F.when(F.col("role") == "shell", 1).otherwise(0).cast("bigint")
-    return x.select("page_id", "block_idx", "node_id", F.col("block_text").alias("text"), F.col("block_html").alias("html"), F.col("block_images").alias("images"), forms.alias("forms"), *SUMS)
+    return _blocks(nodes).where("real").drop("real")
 
 
 #: What stands around the paragraphs of a document.
@@ -82,10 +88,10 @@ def extract(nodes: DataFrame, document: bool = False) -> DataFrame:
     With `document` also `html`, the article as a document of its own (S6). Every page has a row; a page without
     candidates has an empty article. The plan has one exchange, by page.
     """
-    judged = blocks.form_prefix(blocks.classify(article_blocks(nodes))).where("final")
-    one = judged.select("page_id", "block_idx", "text", "html", "images", "out_words", "links")
-    empty = nodes.where("parent_id < 0").select("page_id", F.lit(-1).cast("bigint").alias("block_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("html"), F.lit(None).cast("array<string>").alias("images"), F.lit(0).cast("bigint").alias("out_words"), F.lit(0).cast("bigint").alias("links"))
-    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("block_idx", c)))), lambda s: s[c]), by)
-    html = [F.concat(F.lit(BEFORE), joined("html", ""), F.lit(BEHIND)).alias("html")] if document else []
-    images = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("images").isNotNull(), F.struct("block_idx", "images")))), lambda s: s["images"]))
-    return one.unionAll(empty).groupBy("page_id").agg(F.sum("out_words").alias("word_count"), F.sum("links").alias("link_count"), images.alias("images"), joined("text", "\n").alias("text"), *html)
+    by = ["page_id", "real"]
+    x = blocks.form_prefix(blocks.classify(_blocks(nodes), by), by)
+    own = F.col("real") & F.col("final")
+    total = lambda c: F.sum(F.when(own, F.col(c)).otherwise(0))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("block_idx", c)))), lambda s: s[c])
+    html = [F.concat(F.lit(BEFORE), F.array_join(listed("html"), ""), F.lit(BEHIND)).alias("html")] if document else []
+    return x.groupBy("page_id").agg(total("out_words").alias("word_count"), total("links").alias("link_count"), F.flatten(listed("images")).alias("images"), F.array_join(listed("text"), "\n").alias("text"), *html)

@@ -27,7 +27,7 @@ def density(df: DataFrame) -> Column:
     return X.link_density(F.col("words"), F.col("anchor_words"), F.col("anchors"), F.col("anchor_imgs"))
 
 
-def classify(df: DataFrame, page: str = "page_id", order: str = "block_idx") -> DataFrame:
+def classify(df: DataFrame, page: str | list[str] = "page_id", order: str = "block_idx") -> DataFrame:
     """Add density and is_content. Beyond the ends of a page stands an empty block.
 
     1. A block with more than a third of its words linked is none. Else it is one if (a) the block before is not
@@ -49,7 +49,7 @@ def classify(df: DataFrame, page: str = "page_id", order: str = "block_idx") ->
     return x.withColumn("is_content", good).drop("__pd", "__pw", "__nd", "__nw")
 
 
-def form_prefix(df: DataFrame, page: str = "page_id", order: str = "block_idx") -> DataFrame:
+def form_prefix(df: DataFrame, page: str | list[str] = "page_id", order: str = "block_idx") -> DataFrame:
     """A content block of less than 16 words right before a form is its heading; add `final`.
 
     The next block is that of the original list, whether or not it is content.

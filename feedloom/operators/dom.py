@@ -654,17 +654,31 @@ def _opaque(n: Node) -> bool:
     return n.tag in ("form", "input", "textarea", "embed", "object", "video", "audio")
 
 
-def nodes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+#: Rows of a batch on its way out of Python; a page is never split.
+BATCH = 8192
+
+
+def nodes(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", leaves: bool = True) -> DataFrame:
     """The node table of the cleaned article part of each page (key, url, html); only these columns reach Python.
 
+    Without `leaves` the rows of texts stay there, for steps that need only what is counted of them.
+
     Null pages count as empty ones: they have a root and nothing else.
     """
 
+    def out(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODE, strict=True)], schema=_NODE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[list] = []
             for k, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = _rows(k, Page(h or "", u or ""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODE, strict=True)], schema=_NODE)
+                rows += [r for r in _rows(k, Page(h or "", u or "")) if leaves or r[4] != "#text"]
+                if len(rows) >= BATCH:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
 
     return pages.selectExpr(f"cast(`{key}` as bigint) AS k", f"`{url}` AS u", f"`{html}` AS h").mapInArrow(run, NODES)
 

@@ -17,7 +17,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_extract_pages(spark: SparkSession, d: str) -> DataFrame:
-    return article.extract(dom.nodes(_pages(spark, d)))
+    return article.extract(dom.nodes(_pages(spark, d), leaves=False))
 
 
 def q_page_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -50,7 +50,7 @@ def extract(fetched_pages: DataFrame, document: bool = False) -> DataFrame:
     """(uri, word_count, link_count, images, text[, html]) of fetched pages (uri, status, content_type, content_encoding,
     body)."""
     pages = fetched.pages(fetched_pages).withColumn("page_id", F.xxhash64("uri"))
-    got = article.extract(dom.nodes(pages, "page_id", "uri", "html"), document)
+    got = article.extract(dom.nodes(pages, "page_id", "uri", "html", leaves=False), document)
     return pages.select("uri", "page_id").join(got, "page_id").drop("page_id")
 
 
