@@ -96,6 +96,16 @@ def test_unique_runs_of_unspaced_text(spark):
     assert got == {**dict(enumerate(bodies)), 9: notice}
 
 
+def test_repeated_runs_beyond_the_broadcast(spark, monkeypatch):
+    notice = " ".join(f"word{i}" for i in range(15))
+    rows = [(i, "h", f"own{i} begin{i}\n{notice}\nown{i} end{i}") for i in range(6)] + [(7, "h", None), (8, "h", ""), (9, None, notice)]
+    x = spark.createDataFrame(rows, "id int, host string, text string")
+    one = {r["id"]: r["u"] for r in markup_ops.unique_runs(x, "id", "host", "text", "u").collect()}
+    monkeypatch.setattr(markup_ops, "BROADCAST", 0)
+    assert one == {r["id"]: r["u"] for r in markup_ops.unique_runs(x, "id", "host", "text", "u").collect()}
+    assert one[0] == "own0 begin0\nown0 end0" and one[7] is None and one[9] == notice
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     pytest.importorskip("public_tokenizers")
