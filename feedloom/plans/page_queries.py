@@ -29,7 +29,7 @@ def q_node_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fragments(spark: SparkSession, d: str) -> DataFrame:
-    x = dom.with_fragment(table(spark, d, "rss_items").select("item_id", "link", "description"), "description", "link", "f")
+    x = dom.with_fragment(spread(table(spark, d, "rss_items").select("item_id", "link", "description")), "description", "link", "f")
     return x.select("item_id", F.col("f.html").alias("html"), F.col("f.words").alias("words"), F.col("f.links").alias("links"), F.col("f.images").alias("images"))
 
 
