@@ -51,7 +51,7 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, field_name, raw, affected, restored, text) of each title and description."""
-    model = garbled.fit(table(spark, d, "documents"), "text")
+    model = garbled.fit(spread(table(spark, d, "documents").select("text")), "text")
     x = spread(table(spark, d, "rss_items").select("item_id", "title", "description"))
     x = garbled.repair_columns(x, ["title", "description"], model)
     one = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("raw"), F.col(c + "_repair").alias("r"))
@@ -115,7 +115,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts_and_targets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "documents").select("doc_id", "source", "text").withColumn("sources", F.array("source")), table(spark, d, "mix_targets")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.withColumn("sources", F.array("source")), table(spark, d, "mix_targets")
 
 
 def p9_overlap(spark: SparkSession, d: str) -> DataFrame:
