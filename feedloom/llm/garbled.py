@@ -12,15 +12,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from feedloom.llm.sampling import bounded
+from feedloom.llm import bigrams
+from feedloom.llm.bigrams import LOST
 
 
 @lru_cache(maxsize=None)
@@ -66,7 +67,6 @@ WIDE = {"gb18030", "gbk"}
 #: The characters of European writing and usual signs in short contexts, so that each garbled form of one is known.
 EVERY = [f"a{c}e {c}a a{c} {c} 1{c} {c}1" for c in map(chr, [*range(0xA0, 0x180), *range(0x2010, 0x2040), 0x20AC, 0x2116, 0x2122])]
 RUSSIAN = ("cp1251", "koi8_r")
-LOST = "�"
 CLEAN = 0
 
 
@@ -93,7 +93,7 @@ def restore(span: str, true: str, wrong: str) -> str | None:
     try:
         return data.decode(true)
     except UnicodeDecodeError:
-        if wrong not in WIDE and LOST not in span:
+        if LOST not in span:  # what was not lost can't come out as lost
             return None
         return re.sub(f"{LOST}+", LOST, data.decode(true, "replace"))
 
@@ -132,39 +132,28 @@ def odd(text: str) -> int:
 class Model:
     """Bigram emissions for each state. `enter` is the log probability of leaving clean text at a character."""
 
-    def __init__(self, texts: list[str], enter: float = -7.0, leave: float = -1.5):
+    def __init__(self, texts: list[str] | bigrams.Counts, enter: float = -7.0, leave: float = -1.5):
         self.enter, self.leave = enter, leave
         self.states: list[tuple[str, str | None, str | None]] = [("clean", None, None), ("lost", None, None), *PAIRS]
-        self.tables: list[tuple[dict, dict, dict, dict]] = []
-        clean = [t for t in texts if t and LOST not in t]
-        for name, true, wrong in self.states:
-            if name == "lost":
-                self.tables.append(({}, {}, {}, {}))
-                continue
-            pairs: Counter = Counter()
-            for group, weight in (([t for t in clean if not true or not t.isascii()], 1.0), (EVERY if true else [], 0.2)):
-                seen: Counter = Counter()
-                for t in group:
-                    if true:
-                        t = garble(t, true, wrong)
-                        if true == "utf-8" and wrong not in WIDE:  # often done twice
-                            t += " " + garble(t, true, wrong)
-                    t = f" {t} "
-                    seen.update(zip(t, t[1:], strict=False))
-                for (a, b), n in seen.items():
-                    if a > "\x7f" or b > "\x7f" or not true:
-                        pairs[a, b] += n * weight
-            firsts: Counter = Counter()
-            kinds: Counter = Counter()
-            kind_firsts: Counter = Counter()
-            for (a, b), n in pairs.items():
-                firsts[a] += n
-                kinds[kind(a), kind(b)] += n
-                kind_firsts[kind(a)] += n
-            self.tables.append((dict(pairs), dict(firsts), dict(kinds), dict(kind_firsts)))
+        clean = texts if isinstance(texts, bigrams.Counts) else bigrams.Counts(*bigrams.count(texts))
+        every = clean.plus(bigrams.Counts(*bigrams.count(EVERY)), 0.2)
+        self.tables: list[bigrams.Bigrams | None] = [bigrams.Bigrams(*clean.part(bigrams.TEXT), kind, clean.part(bigrams.ASCII)), None]
+        self.tables += [self._read_as(every, true, wrong) for _, true, wrong in PAIRS]
         self.seen: dict[tuple[str, str], tuple[float, ...]] = {}
         self.gains: dict[tuple[str, str], float] = {}
 
+    @staticmethod
+    def _read_as(counts: bigrams.Counts, true: str, wrong: str) -> bigrams.Bigrams:
+        """The bigrams of the same lines after the pair."""
+        if wrong in WIDE:
+            return bigrams.Bigrams(*counts.part(bigrams.AS_GB18030), kind)
+        once = lambda c: garble(c, true, wrong)
+        left = counts.left_by(true)
+        parts = [bigrams.read_as(*left, once)]
+        if true == "utf-8":  # often done twice
+            parts.append(bigrams.read_as(*left, lambda c: once(once(c))))
+        return bigrams.Bigrams(*bigrams.total(*map(np.concatenate, zip(*parts, strict=True))), kind)
+
     def emissions(self, a: str, b: str) -> tuple[float, ...]:
         """Log probability of b after a in each state; ASCII after ASCII tells nothing."""
         if (out := self.seen.get((a, b))) is None:
@@ -172,16 +161,17 @@ class Model:
                 out = (0.0,) * len(self.states)
             else:
                 ka, kb, values = kind(a), kind(b), []
-                for s, (pairs, firsts, kinds, kind_firsts) in enumerate(self.tables):
-                    if s == 1:
+                key = bigrams.key(a, b)
+                for s, table in enumerate(self.tables):
+                    if table is None:
                         values.append(-1.0 if b == LOST else -6.0 if b < "\x80" else -14.0)
                         continue
-                    n = firsts.get(a, 0)
-                    by_kind = (kinds.get((ka, kb), 0) + 0.02) / (kind_firsts.get(ka, 0) + 0.02 * len(KINDS))
+                    n = table.firsts.get(a, 0)
+                    by_kind = (table.kinds.get((ka, kb), 0) + 0.02) / (table.kind_firsts.get(ka, 0) + 0.02 * len(KINDS))
                     size = {"H": 3000, "s": 60, "q": 30}.get(kb, 60)
                     floor = by_kind / size if s == CLEAN else by_kind / size / 30
                     weight = 4.0
-                    values.append(math.log((pairs.get((a, b), 0) + weight * floor) / (n + weight)))
+                    values.append(math.log((table.get(key) + weight * floor) / (n + weight)))
                 out = tuple(values)
             if len(self.seen) > 1 << 19:
                 self.seen.clear()
@@ -404,21 +394,13 @@ class Model:
         return re.search(rf"(?<!\w){re.escape(fixed)}(?!\w)", text[:a] + " " + text[b:]) is not None
 
 
-#: The model is fitted on about so many lines of clean texts.
-SAMPLE_LINES = 2400
+#: The lines of a script with more of them count as so many together, so that scripts weigh the same in the emissions.
+MASS = 600
 
 
-def fit(clean: DataFrame, text: str, seed: int = 42, lines: int = SAMPLE_LINES) -> Model:
-    """Fit the model on a bounded sample of the lines of a table of mostly clean texts, an equal number of each script.
-
-    Lines are drawn from all of each text, see `sampling.bounded`; the emissions of all states are learned from them.
-    """
-    from pyspark.sql import functions as F
-
-    x = clean.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line"))
-    c = F.col("line")
-    script = F.when(c.rlike(r"\p{IsHan}"), 0).when(c.rlike(r"\p{IsCyrillic}"), 1).when(c.rlike("[À-ſ]"), 2).otherwise(3)
-    return Model(sorted(r["t"] for r in bounded(x, "line", lines // 4, seed, script).collect()))
+def fit(clean: DataFrame, text: str, mass: float | None = MASS) -> Model:
+    """Fit the model on all lines of a table of mostly clean texts: their bigrams are counted where the texts lie."""
+    return Model(bigrams.Counts(*bigrams.counted(clean, text), mass))
 
 
 def repair_columns(df: DataFrame, columns: list[str], model: Model, suffix: str = "_repair") -> DataFrame:
@@ -429,7 +411,7 @@ def repair_columns(df: DataFrame, columns: list[str], model: Model, suffix: str
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(c + suffix, T.StructType([T.StructField("affected", T.BooleanType()), T.StructField("restored", T.BooleanType()), T.StructField("text", T.StringType())])) for c in columns]])
     kind_of = pa.struct([("affected", pa.bool_()), ("restored", pa.bool_()), ("text", pa.string())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # the tables of a bounded sample
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the distinct bigrams, 16 bytes each
 
     def one(m: Model, t: str | None) -> dict:
         if t is None or t.isascii():

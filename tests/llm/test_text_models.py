@@ -333,3 +333,40 @@ def test_too_many_patterns_are_refused(spark, monkeypatch):
     sizes = spark.createDataFrame([(["a"], 1), (["b"], 1), (["c"], 1)], "pattern array<string>, n bigint")
     with pytest.raises(ValueError):
         mixture._totals(sizes)
+
+
+def test_emissions_come_from_all_lines(spark):
+    rare = [chr(o) for o in range(0x101, 0x131, 2)]
+    lines = [f"Die Küche {i} wäre größer" for i in range(4000)] + [f"a{c}š" for c in rare]
+    fitted = garbled.fit(spark.createDataFrame([("\n".join(lines[i::7]),) for i in range(7)] + [(None,), ("",)], "t string").repartition(3), "t")
+    for c in rare:  # each stands in one line of 4024
+        assert fitted.emissions(c, "š")[garbled.CLEAN] > fitted.emissions(c, "ž")[garbled.CLEAN], c
+    assert fitted.repair("KÃ¼che")[2] == "Küche"
+    assert garbled.fit(spark.createDataFrame([], "t string"), "t").emissions("a", "š")
+
+
+def test_bigrams_of_garbled_lines_against_garbling():
+    from collections import Counter
+
+    from feedloom.llm import bigrams
+
+    lines = [*dict.fromkeys(CLEAN), "a中é ж 5", "é中文é", "Ω9你9", "你9", "\U0001f600é€", "x\r", "“é”中“", "plain", "gone \ufffd é"]
+    m = garbled.Model(["\n".join(lines), *lines])
+    for (_, true, wrong), table in zip(m.states, m.tables, strict=True):
+        want: Counter = Counter()
+        for group, weight in ((lines, 2.0), (garbled.EVERY if true else [], 0.2)) if table else ():
+            for t in group:
+                if "\ufffd" in t:
+                    continue
+                once = garbled.garble(t, true, wrong) if true else t
+                for x in [once, garbled.garble(once, true, wrong)] if true == "utf-8" and wrong != "gb18030" else [once]:
+                    for a, b in zip(f" {x}", f"{x} ", strict=True):
+                        if not (a + b).isascii():
+                            want[bigrams.key(a, b)] += weight
+        if table:
+            assert list(table.keys) == sorted(want) and all(abs(table.get(k) - n) < 1e-6 for k, n in want.items()), (true, wrong)
+
+
+def test_nothing_is_lost_by_restoring():
+    assert garbled.restore("Г¤", "utf-8", "gb18030") is None
+    assert garbled.restore(garbled.garble("jalapeño", "utf-8", "gb18030"), "utf-8", "gb18030") == "jalapeño"
